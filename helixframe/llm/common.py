@@ -47,3 +47,22 @@ def whole_text(column: str = "text"):
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def computed(df: DataFrame, **columns) -> DataFrame:
+    """``df`` with columns that are computed once a row, however often later expressions use them.
+
+    The optimizer would put a column's expression into lambdas that read it, to run for each element;
+    it does not look through a generator.
+    """
+    made = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("__made")
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c not in columns), made).select("*", "__made.*").drop("__made")
+
+
+def bucketed(df: DataFrame, tag: str, column: str, buckets: int) -> DataFrame:
+    """Like ``written``, in buckets by ``column``: later groupings by it need no exchange of this side."""
+    spark = df.sparkSession
+    path = scratch(spark, tag)
+    name = "helixframe_" + path.rsplit("-", 1)[1]
+    df.write.bucketBy(buckets, column).option("path", path).saveAsTable(name)
+    return spark.table(name)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import written
+from helixframe.llm.common import computed, written
 
 #: Words of a window, the share of an item's windows that makes a text contaminated, and the fewest words of an item.
 WINDOW, SHARE, FEWEST = 8, 0.8, 4
@@ -44,28 +44,24 @@ def _canonical(words: Column) -> Column:
     return F.transform(words, one)
 
 
-def _windows(tokens: str, size: int) -> Column:
-    """``h, v``: the hash of each window's canonical words and the values in its slots."""
-    values = F.transform(tokens, lambda t: t["v"])
-    hashes = F.transform(tokens, lambda t: F.xxhash64(t["c"]))
+def _exploded(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """``at, h, v`` of each window of ``tokens``: its place, the hash of its canonical words, the values in its slots."""
     none = F.array().cast("array<string>")
-    slots = F.exists(tokens, lambda t: t["v"].isNotNull())
+    parts = computed(rows, hashes=F.transform("tokens", lambda t: F.xxhash64(t["c"])), values=F.when(F.exists("tokens", lambda t: t["v"].isNotNull()), F.transform("tokens", lambda t: t["v"])))
 
     def one(i: Column) -> Column:
-        return F.struct(F.xxhash64(F.slice("hashes", i, size), F.lit(size)).alias("h"), F.when(F.col("slots"), F.filter(F.slice("values", i, size), lambda v: v.isNotNull())).otherwise(none).alias("v"))
-
-    return values, hashes, slots, F.when(F.size("hashes") >= size, F.transform(F.sequence(F.lit(1), F.size("hashes") - size + 1), one))
+        values = F.filter(F.slice("values", i, size), lambda v: v.isNotNull())
+        return F.struct(F.xxhash64(F.slice("hashes", i, size), F.lit(size)).alias("h"), F.when(F.col("values").isNotNull(), values).otherwise(none).alias("v"))
 
-
-def _exploded(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
-    values, hashes, slots, windows = _windows("tokens", size)
-    return rows.select(*keys, values.alias("values"), hashes.alias("hashes"), slots.alias("slots")).select(*keys, F.posexplode(windows).alias("at", "w")).select(*keys, "at", "w.h", "w.v")
+    windows = F.when(F.size("hashes") >= size, F.transform(F.sequence(F.lit(1), F.size("hashes") - size + 1), one))
+    return parts.select(*keys, F.posexplode(windows).alias("at", "w")).select(*keys, "at", "w.h", "w.v")
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, fewest: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``item_id, item_at, h, item_v, size, of``: the windows with at least half their words literal; an item shorter than a window is one window."""
     items = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("item_id is not null")
-    items = items.groupBy("item_id").agg(F.min("text").alias("text")).withColumn("words", _words(F.col("text"))).withColumn("tokens", _canonical(F.col("words"))).withColumn("n", F.size("tokens"))
+    items = computed(items.groupBy("item_id").agg(F.min("text").alias("text")), words=_words(F.col("text")))
+    items = computed(items, tokens=_canonical(F.col("words"))).withColumn("n", F.size("tokens"))
     items = written(items.where(F.col("n") >= fewest).select("item_id", "tokens", F.least("n", F.lit(window)).alias("size")), "items")
     parts = [_exploded(items.where(F.col("size") == size), ["item_id"], size).withColumn("size", F.lit(size)) for size in range(fewest, window + 1)]
     out = parts[0]
@@ -88,8 +84,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
     lengths = [r["size"] for r in known.select("size").distinct().orderBy("size").collect()]  # at most one for each window size
     few = known.count() <= broadcast
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    rows = rows.withColumn("text_hash", F.xxhash64("text")).withColumn("words", _words(F.col("text")))
-    rows = rows.select("doc_id", "text_hash", _canonical(F.col("words")).alias("tokens"))
+    rows = computed(rows.withColumn("text_hash", F.xxhash64("text")), words=_words(F.col("text"))).drop("text")
+    rows = computed(rows, tokens=_canonical(F.col("words"))).drop("words")
     found = None
     for size in lengths or [window]:
         own = known.where(F.col("size") == size).drop("size")

@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.common import computed
+
 THRESHOLD = 0.8
 
 # Statements and notices of common licences.
@@ -50,8 +52,7 @@ def sizes(m: int, threshold: float) -> range:
     return range(max(1, -int(-m * threshold / (2 - threshold) // 1)), int(m * (2 - threshold) / threshold + 1e-9) + 1)
 
 
-def _bigrams(unit: Column) -> Column:
-    words = F.split(F.trim(F.regexp_replace(F.lower(unit), r"[^\p{L}\p{N}]+", " ")), " ")
+def _bigrams(words: Column) -> Column:
     pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))
     return F.when(F.size(words) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
@@ -81,11 +82,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_
     parts = F.transform(F.split(text, r"\r?\n[ \t]*\r?\n"), lambda x, i: F.struct(F.lit("paragraph").alias("unit"), (i + 1).alias("line_no"), x.alias("said")))
     parts = F.when(text.rlike(r"\n[ \t]*\r?\n"), F.filter(parts, lambda p: p["said"].contains("\n")))
     none = F.array().cast("array<struct<unit:string,line_no:int,said:string>>")
-    longest = max((len(t) for _, t in templates), default=0)
-    # a unit can't have more words than the largest size allows; its spaces bound them from below only roughly, so characters do not prune
     units = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.explode(F.concat(lines, F.coalesce(whole, none), F.coalesce(parts, none))).alias("u")).select("doc_id", "u.*")
-    words = F.size(F.split(F.trim("said"), r"\s+"))
-    grown = units.where((words <= 4 * (most + 1)) | F.lit(longest == 0)).withColumn("grams", _bigrams(F.col("said"))).withColumn("n", F.size("grams")).where((F.col("n") >= 1) & (F.col("n") <= most))
+    split = computed(units, words=F.split(F.trim(F.regexp_replace(F.lower("said"), r"[^\p{L}\p{N}]+", " ")), " "))
+    grown = computed(split.drop("said"), grams=_bigrams(F.col("words"))).drop("words").withColumn("n", F.size("grams")).where((F.col("n") >= 1) & (F.col("n") <= most))
     near = grown.withColumn("candidates", F.element_at(table, F.col("n"))).where(F.size("candidates") > 0)
 
     def judged(i: Column) -> Column:
