@@ -91,13 +91,13 @@ def _script(word: str) -> str:
 
 
 def _picked(key: bytes, kind: str, value: str, names: list[str], endings: list[str], attempt: int) -> str:
-    """A name of the list; after more attempts than it has names, one with endings in front of which the list's stand."""
-    at = (_drawn(key, kind, value) + attempt) % len(names)
-    extra, n = [], attempt // len(names)
-    while n:
-        n, e = divmod(n - 1, len(endings))
-        extra.append(endings[e])
-    return names[at] + "".join(extra)
+    """A drawn name of the list; each second attempt hangs one more drawn ending on it, so that few rounds make room for any number."""
+    at, name = divmod(_drawn(key, kind, value, attempt), len(names))
+    out = names[name]
+    for _ in range(attempt // 2):
+        at, e = divmod(at, len(endings))
+        out += endings[e]
+    return out
 
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
