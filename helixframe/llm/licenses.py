@@ -103,14 +103,14 @@ def oracle(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
     words = "string_split(trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
     grams = "list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])"
     return f"""
-    WITH t AS (SELECT at, license, {grams} AS grams FROM (SELECT at, license, {words.format('said')} AS w FROM (VALUES {rows}) v(at, license, said))),
+    WITH t AS (SELECT place, license, {grams} AS grams FROM (SELECT place, license, {words.format('said')} AS w FROM (VALUES {rows}) v(place, license, said))),
     u AS (
       SELECT doc_id, 'line' AS unit, unnest(range(1, len(x) + 1)) AS line_no, unnest(x) AS said, row FROM (SELECT doc_id, row_number() OVER () AS row, string_split_regex(coalesce(text, ''), '\\r?\\n') AS x FROM documents)
       UNION ALL SELECT doc_id, 'text', 1, text, row_number() OVER () FROM documents WHERE contains(text, chr(10))
       UNION ALL SELECT * FROM (SELECT doc_id, 'paragraph', unnest(range(1, len(x) + 1)) AS line_no, unnest(x) AS said, row FROM (SELECT doc_id, row_number() OVER () AS row, string_split_regex(text, '\\r?\\n[ \\t]*\\r?\\n') AS x FROM documents WHERE regexp_matches(text, '\\n[ \\t]*\\r?\\n'))) WHERE contains(said, chr(10))
     ),
     g AS (SELECT doc_id, unit, line_no, row, {grams} AS grams FROM (SELECT *, {words.format('said')} AS w FROM u)),
-    d AS (SELECT doc_id, unit, line_no, row, at, license, 2.0::DOUBLE * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice
+    d AS (SELECT doc_id, unit, line_no, row, place, license, 2.0::DOUBLE * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice
           FROM g JOIN t ON len(g.grams) > 0 AND 2 * least(len(g.grams), len(t.grams)) >= {threshold} * (len(g.grams) + len(t.grams)) - 1e-9)
-    SELECT doc_id, unit, line_no::INTEGER AS line_no, license, dice FROM (SELECT *, row_number() OVER (PARTITION BY row, unit, line_no ORDER BY dice DESC, at) AS r FROM d WHERE dice >= {threshold}) WHERE r = 1
+    SELECT doc_id, unit, line_no::INTEGER AS line_no, license, dice FROM (SELECT *, row_number() OVER (PARTITION BY row, unit, line_no ORDER BY dice DESC, place) AS r FROM d WHERE dice >= {threshold}) WHERE r = 1
     """
