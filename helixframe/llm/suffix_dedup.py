@@ -248,7 +248,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "d
     the input; matches do not cross texts. Null texts are empty; texts shorter than the threshold stay
     whole; null and repeated ids pass through, each row on its own; other columns are left aside.
     """
-    digit = digit or min(DIGIT, max(1, threshold // 2))
+    digit, run_of = digit or min(DIGIT, max(1, threshold // 2)), min(run_of, threshold)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blocks = written(rows.mapInArrow(_blocks(block_bytes), BLOCKS), "repeats")
     first = written(_counted(blocks.mapInArrow(_first_digit(threshold, digit), ROWS).withColumn("weight", F.lit(1)), "key"), "first-digit")
