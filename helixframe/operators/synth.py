@@ -78,9 +78,14 @@ pairs AS (SELECT l_orderkey AS pair_id, mate::INT AS mate, l_orderkey % (SELECT
           FROM (SELECT *, CASE mate WHEN 1 THEN l_orderkey % 400 ELSE l_orderkey % 400 + l_suppkey * 7 % 650 END AS s FROM mates WHERE mate <= 2))"""
 
 
+def since_epoch(column: str, unit: str = "SECOND") -> Column:
+    """Whole units since 1970 of a timestamp without time zone, whatever the session's zone."""
+    return F.expr(f"timestampdiff({unit}, timestamp_ntz'1970-01-01 00:00:00', cast({column} as timestamp_ntz))")
+
+
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``chrom, beg, end, payload``: events as intervals, the user as chromosome, seconds as coordinates."""
-    second = F.unix_timestamp("ts")
+    second = since_epoch("ts")
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("chrom"), second.alias("beg"), (second + 3600 * (1 + F.col("event_id") % 48)).alias("end"), F.col("event_id").alias("payload"), "event_type")
 
 

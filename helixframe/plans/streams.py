@@ -16,13 +16,13 @@ ORACLES: dict[str, str] = {}
 def windowed_events(spark, sf_dir):
     """Events by hour and type."""
     rows = reads.windowed(synth.table(spark, sf_dir, "events"))
-    return rows.select(F.unix_timestamp("start").alias("start"), "event_type", "n")
+    return rows.select(synth.since_epoch("start").alias("start"), "event_type", "n")
 
 
 def event_sessions(spark, sf_dir):
     """Runs of a user's events with gaps under half an hour."""
     rows = reads.sessions(synth.table(spark, sf_dir, "events"))
-    return rows.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
+    return rows.select("user_id", synth.since_epoch("start", "MICROSECOND").alias("start"), synth.since_epoch("`end`", "MICROSECOND").alias("end"), "n")
 
 
 def read_stream_normalised(spark, sf_dir):
