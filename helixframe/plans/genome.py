@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna
-from helixframe.operators import align, context, methyl, rank, seed, synth, verify
+from helixframe.operators import align, context, methyl, rank, seed, suffix, synth, verify
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -286,3 +286,17 @@ def banded_distance(spark, sf_dir):
     cut = F.concat(F.repeat(F.lit("N"), left), F.substring("contig", F.greatest(F.col("true_site") - 4, F.lit(0)) + 1, F.lit(108) - left))
     rows = rows.select("name", "seq", F.rpad(cut, 108, "N").alias("window"))
     return verify.verified(rows, 4, align=True).select("name", "err", "w_start", "w_end", "cigar")
+
+
+@query("s AS (SELECT p_partkey AS chrom_id, translate(md5(p_partkey::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM part) SELECT chrom_id, (row_number() OVER (PARTITION BY chrom_id ORDER BY substr(seq, (i + 1)::INT)) - 1)::INT AS rank, i::INT AS site FROM s, range(0, 32) t(i)")
+def suffix_order(spark, sf_dir):
+    """The suffix arrays of the parts' own 32 bases."""
+    return suffix.suffixes(synth.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("chrom_id"), synth.dna(F.col("p_partkey")).alias("seq")))
+
+
+@query(f"{synth.READS_SQL} SELECT chrom_id, r.chrom_id * 4 + 1 AS beg, substr(c.seq, (r.chrom_id % 1000 + 1)::INT, 24) AS seq FROM (SELECT DISTINCT chrom_id FROM reads) r JOIN contigs c USING (chrom_id)")
+def region_bases(spark, sf_dir):
+    """24 bases of each contig at a place that its number gives; clamped at the end."""
+    contigs = synth.contigs(spark, sf_dir)
+    asked = synth.reads(spark, sf_dir).select("chrom_id").distinct().withColumn("beg", (F.col("chrom_id") % 1000).cast("int")).withColumn("end", F.col("beg") + 24)
+    return context.substring(contigs, asked).select("chrom_id", (F.col("chrom_id") * 4 + 1).alias("beg"), "seq")

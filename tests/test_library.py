@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import cigar, dna, stats, text, variant
-from helixframe.operators import align, intervals, pileup, rank, seed, synth, variants, verify
+from helixframe.operators import align, baq, intervals, pileup, rank, seed, suffix, synth, variants, verify
 from helixframe.plans import catalogue
 from helixframe.sources import formats, readers, writers
 
@@ -70,6 +70,33 @@ def test_statistics():
     assert gl.argmin() in (1, 4)
 
 
+def test_suffix_order_and_transform():
+    rnd = random.Random(9)
+    for t in (b"", b"a", b"banana", b"aaaa", bytes(rnd.choices(b"ACGT", k=300))):
+        order = suffix.suffix_array(t)
+        assert suffix.proper(t, order) and suffix.inverted(*suffix.transformed(t)) == t
+    assert suffix.found(b"banana", suffix.suffix_array(b"banana"), b"an") == (1, 3)
+
+
+def test_base_alignment_quality(spark):
+    import numpy as np
+
+    rnd = random.Random(1)
+    ref = "".join(rnd.choices("ACGT", k=80))
+    read = ref[20:60]
+    assert (baq.capped(read, np.full(40, 30), "40M", 20, ref)[2:-2] >= 29).all()
+    short = read[:20] + read[22:]
+    shifted = baq.capped(short, np.full(38, 30), "38M", 20, ref)
+    assert (shifted[:15] >= 29).all() and (shifted[22:] == 0).all()
+    assert (baq.capped(short, np.full(38, 30), "20M2D18M", 20, ref, True)[22:36] >= 29).all()
+    assert baq.capped(read, np.full(40, 30), "20M5N20M", 20, ref) is None
+    assert baq.mapping_cap(read, [30] * 40, "40M", 20, ref) == 40 and baq.mapping_cap("A" * 40, [30] * 40, "40M", 20, ref) == -1
+    rows = spark.createDataFrame([(0, "c", 20, "38M", short, "?" * 38), (4, "c", 20, "38M", short, "?" * 38), (0, "x", 0, "38M", short, "*")], "flag int, rname string, pos int, cigar string, seq string, qual string")
+    new = baq.realigned(rows, spark.createDataFrame([("c", ref)], "name string, seq string"))
+    got = new.withColumn("back", baq.restored(F.col("qual"), F.col("bq"))).orderBy("rname", "flag").collect()
+    assert got[0].back == "?" * 38 and got[0].qual != "?" * 38 and got[1].bq is None and got[2].qual == "*"
+
+
 def test_numbers_and_strings(spark):
     assert one(spark, text.decimal(F.lit("1.5k")), text.decimal(F.lit("x")), text.percent_decoded(F.lit("a%2Bb+c")), text.every_place(F.lit("aaa"), "aa"), text.number_text(F.lit(1.5))) == (1500, None, "a+b+c", [0, 1], "1.5")
 
