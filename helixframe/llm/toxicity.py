@@ -3,8 +3,8 @@
 A lexical transducer maps tokens to classes: insults and threats with weights, targets, negation and
 reported speech. The other transducers read the classes of a clause: they weaken what is negated or
 reported, strengthen what is aimed at someone, and let a threat pass only with its target. Composed,
-they are one machine, run clause by clause; a text's score is the logistic of a prior and the weights
-of its matched clauses.
+they are one machine, run clause by clause; a text's score is a logistic function of its matched
+clauses: how many entries they hold, how often for the text's length, and their weights.
 
 Insults are partly given and partly learned: words and word beginnings that labelled toxic texts
 hold far more often than others.
@@ -18,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import written
 
 #: Labelled rows to learn from, learned entries, and the lengths of word beginnings.
-SAMPLE, ENTRIES, STEMS = 20_000, 5_000, (4, 5)
+SAMPLE, ENTRIES, STEMS = 20_000, 5_000, (4, 5, 6, 7)
 #: Least texts with an entry, and least log-odds of it.
-SUPPORT, ODDS = 3, 2.5
+SUPPORT, ODDS = 3, 1.5
 
 # Word lists in English, French, German and Spanish.
 INSULTS = "idiot moron stupid scum trash loser clown pathetic worthless disgusting idiote imbécile connard ordure dummkopf abschaum trottel estúpido imbécil escoria"
@@ -83,19 +84,24 @@ _START = (0, 0, 0, 0)
 
 @dataclass
 class Grammar:
-    """The lexicon: class and weight by word, insults by beginning, and the prior log-odds."""
+    """The lexicon: class and weight by word, insults by beginning; and how matches make a score."""
 
-    prior: float
     words: dict[str, tuple[str, float]] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
+    #: For one, the weights of different entries, the logarithms of matches and of matches in 100 words, and the heaviest clause.
+    effects: tuple[float, ...] = (-2.0, 1.0, 0.0, 0.0, 0.0)
 
     def symbol(self, token: str) -> tuple[str, float]:
-        if found := self.words.get(token):
+        if (found := self.words.get(token)) and found[0] != "I":
             return found
-        for k in STEMS:
-            if (w := self.stems.get(token[:k])) and len(token) > k:
-                return "I", w
-        return "o", 0.0
+        best = max((w for k in STEMS if len(token) > k and (w := self.stems.get(token[:k]))), default=0.0)
+        if found and found[1] >= best:
+            return found
+        return ("I", best) if best else ("o", 0.0)
+
+    def score(self, measures: tuple[float, ...]) -> float:
+        total = sum(a * b for a, b in zip(self.effects, (1.0, *measures)))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
 
 def lexicon(prior: float, learned: dict[str, float]) -> Grammar:
@@ -109,31 +115,56 @@ def lexicon(prior: float, learned: dict[str, float]) -> Grammar:
             stems[entry[:-1]] = w
         elif words.get(entry, "I")[0] == "I":
             words[entry] = ("I", w)
-    return Grammar(prior, words, stems)
+    return Grammar(words, stems, (prior, 1.0, 0.0, 0.0, 0.0))
 
 
-def clauses(grammar: Grammar, text: str) -> Iterator[tuple[int, int, float]]:
-    """Matched clauses of a lower-case text: start, end and weight. An entry counts once in a text."""
-    state, start, weight, seen, end = _START, 0, 0.0, set(), 0
+def clauses(grammar: Grammar, text: str) -> Iterator[tuple[int, int, list[tuple[str, float, float]], int]]:
+    """Clauses of a lower-case text: start, end, matches (entry, weight, what its class counts) and words."""
+    state, start, found, words, end = _START, 0, [], 0, 0
     for m in TOKEN.finditer(text):
         token, end = m[0], m.end()
         if token in _ENDS:
-            if weight:
-                yield start, end, weight
-            state, start, weight = _START, end, 0.0
+            yield start, end, found, words
+            state, start, found, words = _START, end, [], 0
             continue
+        words += 1
         symbol, w = grammar.symbol(token)
         out, state = MACHINE[state, symbol]
-        if out in FACTORS and token not in seen:
-            seen.add(token)
-            weight += FACTORS[out] * (w or GIVEN)
-    if weight:
-        yield start, end, weight
+        if out in FACTORS:
+            found.append((token, w or GIVEN, FACTORS[out]))
+    yield start, end, found, words
+
+
+def measures(grammar: Grammar, text: str) -> tuple[float, float, float, float]:
+    """Weight of the different entries, logarithms of the matches and of those in 100 words, weight of the heaviest clause."""
+    best: dict[str, float] = {}
+    n = words = 0.0
+    top = 0.0
+    for _, _, found, size in clauses(grammar, text.lower()):
+        words += size
+        n += sum(f for _, _, f in found)
+        top = max(top, sum(w * f for _, w, f in found))
+        for token, w, f in found:
+            best[token] = max(best.get(token, 0.0), w * f)
+    return sum(best.values()), math.log1p(n), math.log1p(100 * n / max(words, 1)), top
 
 
 def scored(grammar: Grammar, text: str) -> float:
-    total = grammar.prior + sum(w for _, _, w in clauses(grammar, text.lower()))
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
+    return grammar.score(measures(grammar, text))
+
+
+def calibrated(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> tuple[float, ...]:
+    """Effects of a logistic model by Newton's method, penalised but for the first."""
+    x = np.hstack([np.ones((len(x), 1)), x])
+    beta = np.zeros(x.shape[1])
+    ridge = np.diag([0.0] + [penalty] * (x.shape[1] - 1)) + 1e-6 * np.eye(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ beta)
+        beta += np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-9:
+            break
+    return tuple(map(float, beta))
 
 
 def _features(text: str) -> set[str]:
@@ -174,7 +205,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ratio = 2 * (F.col("bad") * F.log(F.col("bad") / (bad * share)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (good * share))).otherwise(0.0))
     strong = counts.where(f"entry <> '' and bad >= {SUPPORT}").withColumn("odds", odds).withColumn("ratio", ratio).where((F.col("odds") >= ODDS) & (F.col("ratio") >= 2 * math.log(max(kinds, 2))))
     picked = strong.orderBy(F.desc("ratio"), "entry").limit(entries).collect()
-    return lexicon(math.log((bad + 0.5) / (good + 0.5)) if bad + good else -2.0, {r["entry"]: r["odds"] for r in picked})
+    grammar = lexicon(math.log((bad + 0.5) / (good + 0.5)) if bad + good else -2.0, {r["entry"]: r["odds"] for r in picked})
+    if not (bad and good):
+        return grammar
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [measures(grammar, t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
+
+    seen = sorted((r["x"], r["toxic"]) for r in once.mapInArrow(measured, "x array<double>, toxic int").collect())  # the sample's bound
+    grammar.effects = calibrated(np.array([x for x, _ in seen]), np.array([float(t) for _, t in seen]))
+    return grammar
 
 
 def _scores(grammar: Grammar):
@@ -185,7 +227,7 @@ def _scores(grammar: Grammar):
         for w in [w for w, (kind, _) in grammar.words.items() if kind in "IT"] + list(grammar.stems):
             automaton.add_word(w, len(w))
         automaton.make_automaton()
-        base = 1 / (1 + math.exp(-grammar.prior))
+        base = grammar.score((0.0, 0.0, 0.0, 0.0))
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():

@@ -267,6 +267,7 @@ def test_grammar_reads_clauses():
     s = lambda t: toxicity.scored(g, t)
     assert s("you are an idiot") > s("an idiot") > s("not an idiot") > s("a nice day") == s("") == 1 / (1 + np.exp(3.0))
     assert s("he said an idiot came") < s("an idiot came") and s("I will kill you") > s("to kill time")
+    assert [round(x, 6) for x in toxicity.measures(g, "an idiot. you idiot moron")] == [round(x, 6) for x in (2 * 3.75, np.log1p(3.5), np.log1p(350 / 5), 7.5)]
     assert s("vequabc") > 0.9 and s("xvequ") < 0.1 and s("no. an idiot") == s("an idiot")
 
 
