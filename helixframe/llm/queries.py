@@ -69,4 +69,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op3_multi_index, op4_secrets, op5_licenses, op6_pii, op7_near_dedup, op8_toxicity, op9_warc, op10_decontaminate)}
 
-ORACLES: dict[str, str] = {"op5_licenses": licenses.oracle()}
+_WARC = """
+WITH d AS (SELECT page_id, url, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY digest HAVING count(*) > 1)
+SELECT page_id, url, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+FROM d LEFT JOIN f USING (digest)
+"""
+
+ORACLES: dict[str, str] = {"op5_licenses": licenses.oracle(), "op9_warc": _WARC}

@@ -319,6 +319,34 @@ def test_reparameterised_items_are_found_and_inconsistent_ones_not(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_whole_items_are_found_as_by_search(spark):
+    import re
+
+    top = "/root/testdata/sf0.001"
+    docs, items = spark.read.parquet(f"{top}/documents.parquet"), spark.read.parquet(f"{top}/benchmark.parquet")
+    plain = lambda t: " " + " ".join(re.findall(r"[^\W_]+", (t or "").lower())) + " "
+    texts = [(r.doc_id, plain(r.text)) for r in docs.collect()]
+    want = {(d, i.item_id) for i in items.collect() for d, t in texts if plain(i.text) in t}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()} == want and want
+
+
+def test_queries_equal_their_sql(spark):
+    import glob
+    import os
+
+    import duckdb
+
+    from helixframe.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for f in glob.glob("/root/testdata/sf0.001/*.parquet"):
+        con.sql(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    for name, sql in ORACLES.items():
+        df = QUERIES[name](spark, "/root/testdata/sf0.001")
+        want = con.sql(sql)
+        assert collections.Counter(map(tuple, df.select(*want.columns).collect())) == collections.Counter(want.fetchall())
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
