@@ -27,8 +27,14 @@ ROUNDS = 20
 
 EMAIL = re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+")
 IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![\w]|\.[0-9])")
-NUMBER = re.compile(r"(?<![\w.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]+(?:[ .-][0-9]+)*(?![\w]|[.,][0-9])")
-SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
+_BEFORE, _BEHIND = r"(?<![\w.+-])", r"(?![\w]|[.,-][0-9])"
+NUMBER = re.compile(
+    _BEFORE
+    + r"(?:(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})"
+    + r"|(?P<card>[0-9]{13,19}|[0-9]{4}(?P<s>[ -])[0-9]{4}(?P=s)[0-9]{4}(?:(?P=s)[0-9]{1,4}){0,2}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})"
+    + r"|(?P<phone>(?:\+1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|0[0-9]{1,4}(?:[ .-][0-9]{2,4}){2,4}))"
+    + _BEHIND
+)
 
 # Titles by gender, and names to draw from by script and gender.
 TITLES = {"f": "Mrs Ms Miss Mme Mlle Madame Frau Sra Srta Señora Doña Госпожа Κυρία", "m": "Mr Sir Monsieur Herr Señor Sr Don Господин Κύριος", "n": "Dr Prof"}
@@ -138,17 +144,6 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
-def _number(found: str) -> str | None:
-    n = len(_digits(found))
-    if SSN.fullmatch(found):
-        return "ssn"
-    if 13 <= n <= 19 and "(" not in found and "+" not in found and "." not in found and re.fullmatch(r"[0-9]+|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}", found):
-        return "card"
-    if 9 <= n <= 15 and (found[0] in "+(" or re.fullmatch(r"[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|0[0-9]{1,4}(?:[ .-][0-9]{2,4}){2,4}", found)):
-        return "phone"
-    return None
-
-
 def detected(text: str) -> list[tuple[int, int, str, str]]:
     """Start, end, type and canonical form of the entities, in order and without overlap."""
     out: list[tuple[int, int, str, str]] = []
@@ -157,8 +152,8 @@ def detected(text: str) -> list[tuple[int, int, str, str]]:
     for m in IP.finditer(text):
         out.append((*m.span(), "ip", ".".join(str(int(x)) for x in m[0].split("."))))
     for m in NUMBER.finditer(text):
-        if m.end() - m.start() >= 9 and (kind := _number(m[0])):
-            out.append((*m.span(), kind, _digits(m[0])))
+        kind = "ssn" if m["ssn"] else "card" if m["card"] else "phone"
+        out.append((*m.span(), kind, _digits(m[0])))
     for m in PERSON.finditer(text):
         gender = _TITLE[m[1]]
         if m[3]:

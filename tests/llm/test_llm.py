@@ -177,6 +177,15 @@ def test_surrogates_are_consistent_distinct_and_of_one_format(spark):
     assert all("Ѐ" <= c <= "ӿ" for c in got[6].text.split()[1])
 
 
+def test_detection_of_neighbouring_numbers():
+    kinds = lambda t: [(k, t[a:b]) for a, b, k, _ in pii.detected(t)]
+    assert kinds("x 7536784127813050 4845168114407329 y") == [("card", "7536784127813050"), ("card", "4845168114407329")]
+    assert kinds("+1 (017) 555-7713 4845168114407329 1.2.3.4.") == [("phone", "+1 (017) 555-7713"), ("card", "4845168114407329"), ("ip", "1.2.3.4")]
+    assert kinds("(212) 555-0100, 030 1234 5678; +49 30 901820 and 123-45-6789.") == [("phone", "(212) 555-0100"), ("phone", "030 1234 5678"), ("phone", "+49 30 901820"), ("ssn", "123-45-6789")]
+    assert kinds("4539 5787 6362 1486 or 4539-5787-6362-1486***") == [("card", "4539 5787 6362 1486"), ("card", "4539-5787-6362-1486")]
+    assert kinds("f3ef4d6b2755a36d 12345 2024-01-02 3.14159 version 1.2.3 token f1234567890123456") == []
+
+
 def test_permutations_are_one_to_one():
     assert len({pii.permuted(b"k", "x", f"{i:04d}") for i in range(10_000)}) == 10_000
     assert len({pii.surrogate(b"k", "ip", f"10.0.{i // 256}.{i % 256}") for i in range(5000)}) == 5000
