@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import partitions, written
+from helixframe.llm.common import bucketed, partitions
 
 #: Characters that a block holds (a single longer text is a block of its own).
 BLOCK_CHARS = 16_000_000
@@ -229,7 +229,7 @@ def _encode(docs: DataFrame, path: str, finish, schema: str, id_col: str, text_c
     shares = max(1, min(SHARES, partitions(spark)))
     vocabulary = spark.sparkContext.broadcast(ranks(path))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    blocks = written(rows.mapInArrow(_blocks(pattern or public_tokenizers.PATTERN, shares, block_chars), BLOCKS), "bpe")
+    blocks = bucketed(rows.mapInArrow(_blocks(pattern or public_tokenizers.PATTERN, shares, block_chars), BLOCKS), "bpe", "block", partitions(spark))
     words = blocks.select("block", F.posexplode("words").alias("share", "packed")).where("packed is not null")
     codes = words.repartition(shares, "share").mapInArrow(_encoded(vocabulary), CODES)
     return blocks.drop("words").groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(finish(vocabulary), schema)
