@@ -60,8 +60,9 @@ class Shingler:
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         known = self.known
         found = WORD.findall(text.lower())
-        for w in set(found) - known.keys():
-            known[w] = xxhash.xxh64_intdigest(w)
+        for w in set(found):  # a difference with the dictionary's keys would walk through all of them
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, found), _U, len(found))
         if len(known) > REMEMBERED:
             known.clear()
