@@ -4,6 +4,9 @@ Numbers, units and names become typed placeholders. Windows of canonical words a
 those of the benchmark; the windows of a text that lie on one item in one alignment are put together,
 and the values in their slots must map one to one, so that a question with other numbers or names is
 found and chance matches of placeholders are not.
+
+Texts are made canonical by a few passes of regular expressions over the whole string; values are read
+in a second pass, and only of texts that match a window with slots.
 """
 
 from __future__ import annotations
@@ -18,58 +21,90 @@ WINDOW, SHARE, FEWEST = 8, 0.8, 4
 #: Benchmark windows that are broadcast at most; more are joined by a shuffle.
 BROADCAST = 1_000_000
 
-# Units that count as such behind a number, and what is stripped from words.
+# Units that count as such behind a number.
 UNITS = "mm cm m km inch inches foot feet ft yard yards mile miles g kg mg lb lbs pound pounds ounce ounces oz ton tons s sec second seconds minute minutes hour hours day days week weeks month months year years ml l liter liters litre litres gallon gallons degree degrees celsius fahrenheit kelvin dollar dollars cent cents euro euros percent mph kmh watt watts kw volt volts joule joules newton newtons".split()
-PUNCTUATION = ".,;:!?()[]{}\"'|*#$%&`~<>/\\“”‘’«»¿¡…-_"
+#: Placeholders: characters for private use.
+NUMBER, UNIT, NAME = "", "", ""
 
+# the classes come first and the look behind after them, so that most places fail at once
+_NUMBER = r"[0-9](?<![\p{L}\p{N}._-][0-9])[0-9]*(?:[.,:/][0-9]+)*"
+_NAME = r"\p{Lu}(?<=[^\s.!?:]\s\p{Lu})\p{L}*"
+_UNIT = rf"\s+(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\p{{L}})"
+_VALUE = r"[0-9]+(?:[.,:/][0-9]+)*"
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda x: F.btrim(x, F.lit(PUNCTUATION)) != "")
 
+def canonical(text: Column) -> Column:
+    """The canonical words of a text; private-use characters of the text itself are blanks."""
+    clean = F.translate(text, NUMBER + UNIT + NAME, "   ")
+    marked = F.regexp_replace(F.regexp_replace(clean, _NUMBER, NUMBER), _NAME, NAME)
+    units = F.when(F.contains(marked, F.lit(NUMBER)), F.regexp_replace(marked, f"{NUMBER}{_UNIT}", f"{NUMBER} {UNIT}")).otherwise(marked)
+    return F.array_remove(F.split(F.lower(units), rf"[^\p{{L}}\p{{N}}{NUMBER}-{NAME}]+"), "")
 
-def _canonical(words: Column) -> Column:
-    """For each word its canonical form, and its value where that is a placeholder."""
 
-    def one(x: Column, i: Column) -> Column:
-        bare = F.btrim(x, F.lit(PUNCTUATION))
-        low = F.lower(bare)
-        before = F.when(i > 0, F.element_at(words, F.greatest(i, F.lit(1))))
-        lead = F.substring(bare, 1, 1)
-        number = lead.between("0", "9")
-        unit = F.substring(F.btrim(before, F.lit(PUNCTUATION)), 1, 1).between("0", "9") & low.isin(UNITS)
-        name = (lead != F.lower(lead)) & (i > 0) & ~F.substring(before, -1, 1).isin(".", "!", "?", ":")
-        kind = F.when(number, "<num>").when(unit, "<unit>").when(name, "<name>")
-        return F.struct(F.coalesce(kind, low).alias("c"), F.when(kind.isNotNull(), F.concat(kind, low)).alias("v"))
+def values(text: Column) -> Column:
+    """For each canonical word its value (placeholder and original, lower case), null if it is literal."""
+    clean = F.translate(text, NUMBER + UNIT + NAME, "   ")
+    marked = F.regexp_replace(F.regexp_replace(clean, _NUMBER, f"{NUMBER}$0"), _NAME, f"{NAME}$0")
+    units = F.regexp_replace(marked, rf"({NUMBER}{_VALUE}\s+)((?i:{'|'.join(sorted(UNITS, key=len, reverse=True))}))(?!\p{{L}})", f"$1{UNIT}$2")
+    cut = rf"(?:[^\p{{L}}\p{{N}}{NUMBER}-{NAME}.,:/]|(?<![0-9])[.,:/]|[.,:/](?![0-9]))+"
+    words = F.array_remove(F.split(F.lower(units), cut), "")
+    return F.transform(words, lambda w: F.when(F.substring(w, 1, 1).isin(NUMBER, UNIT, NAME), w))
 
-    return F.transform(words, one)
 
+def _windows(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """``at, h`` of each window of ``tokens``."""
+    parts = computed(rows, hashes=F.transform("tokens", lambda t: F.xxhash64(t))).drop("tokens")
+    each = F.transform(F.sequence(F.lit(1), F.size("hashes") - size + 1), lambda i: F.xxhash64(F.slice("hashes", i, size), F.lit(size)))
+    return parts.where(F.size("hashes") >= size).select(*keys, F.posexplode(each).alias("at", "h"))
 
-def _exploded(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """``at, h, v`` of each window of ``tokens``: its place, the hash of its canonical words, the values in its slots."""
-    none = F.array().cast("array<string>")
-    parts = computed(rows, hashes=F.transform("tokens", lambda t: F.xxhash64(t["c"])), values=F.when(F.exists("tokens", lambda t: t["v"].isNotNull()), F.transform("tokens", lambda t: t["v"])))
 
-    def one(i: Column) -> Column:
-        values = F.filter(F.slice("values", i, size), lambda v: v.isNotNull())
-        return F.struct(F.xxhash64(F.slice("hashes", i, size), F.lit(size)).alias("h"), F.when(F.col("values").isNotNull(), values).otherwise(none).alias("v"))
+def _literal(tokens: Column) -> Column:
+    return F.size(F.filter(tokens, lambda t: ~F.substring(t, 1, 1).isin(NUMBER, UNIT, NAME)))
 
-    windows = F.when(F.size("hashes") >= size, F.transform(F.sequence(F.lit(1), F.size("hashes") - size + 1), one))
-    return parts.select(*keys, F.posexplode(windows).alias("at", "w")).select(*keys, "at", "w.h", "w.v")
 
+def benchmark_windows(benchmark: DataFrame, window: int, fewest: int, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``item_id, item_at, h, slots, size, of`` of windows with at least half their words literal, and the items.
 
-def benchmark_windows(benchmark: DataFrame, window: int, fewest: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``item_id, item_at, h, item_v, size, of``: the windows with at least half their words literal; an item shorter than a window is one window."""
+    An item shorter than a window is one window. The first window also counts with its first word as
+    a name, which a capital makes of it behind other text.
+    """
     items = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("item_id is not null")
-    items = computed(items.groupBy("item_id").agg(F.min("text").alias("text")), words=_words(F.col("text")))
-    items = computed(items, tokens=_canonical(F.col("words"))).withColumn("n", F.size("tokens"))
-    items = written(items.where(F.col("n") >= fewest).select("item_id", "tokens", F.least("n", F.lit(window)).alias("size")), "items")
-    parts = [_exploded(items.where(F.col("size") == size), ["item_id"], size).withColumn("size", F.lit(size)) for size in range(fewest, window + 1)]
-    out = parts[0]
+    items = computed(items.groupBy("item_id").agg(F.min("text").alias("text")), tokens=canonical(F.col("text")))
+    items = written(items.where(F.size("tokens") >= fewest).withColumn("size", F.least(F.size("tokens"), F.lit(window))), "items")
+    capital = F.col("text").rlike(r"^[^\p{L}\p{N}]*\p{Lu}")
+    named = items.where(capital).withColumn("tokens", F.concat(F.array(F.lit(NAME)), F.slice("tokens", F.lit(2), F.col("size") - 1)))
+    parts = []
+    for size in range(fewest, window + 1):
+        for form in (items, named):
+            own = form.where(F.col("size") == size).select("item_id", "tokens")
+            slots = F.transform(F.sequence(F.lit(1), F.size("tokens") - size + 1), lambda i, n=size: F.lit(n) - _literal(F.slice("tokens", i, n)))
+            parts.append(_windows(own.withColumn("slots", slots), ["item_id", "slots"], size).select("item_id", F.col("at").alias("item_at"), "h", F.element_at("slots", F.col("at") + 1).alias("slots"), F.lit(size).alias("size")))
+    every = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.where(2 * F.size("v") <= F.col("size"))
-    of = out.groupBy("item_id").agg(F.count("*").alias("of"))
-    return out.join(of, "item_id").select("item_id", F.col("at").alias("item_at"), "h", F.col("v").alias("item_v"), "size", "of")
+        every = every.unionByName(p)
+    every = every.where(2 * F.col("slots") <= F.col("size"))
+    of = every.groupBy("item_id").agg(F.countDistinct("item_at").alias("of"))
+    return every.join(of, "item_id"), items.select("item_id", "text", "size")
+
+
+def _consistent(aligned: DataFrame, rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Alignments whose slots map one to one, with their number and whether a value differs."""
+    texts = rows.join(aligned.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    both = aligned.join(computed(texts, there=values(F.col("text"))).select("text_hash", "there"), "text_hash").join(computed(items, here=values(F.col("text"))).select("item_id", "here", "size"), "item_id")
+    first = F.lower(F.regexp_extract("text", r"\p{L}+", 0))
+    both = both.join(items.select("item_id", F.concat(F.lit(NAME), first).alias("first")), "item_id")
+
+    def pair(i: Column) -> Column:
+        covered = F.exists("ats", lambda a: (a <= i) & (i < a + F.col("size")))
+        mine, theirs = F.get("here", i), F.get("there", i + F.col("shift"))
+        mine = F.when((i == 0) & mine.isNull() & theirs.startswith(NAME), F.col("first")).otherwise(mine)
+        return F.when(covered & (mine.isNotNull() | theirs.isNotNull()), F.struct(mine.alias("i"), theirs.alias("d")))
+
+    pairs = F.array_distinct(F.filter(F.transform(F.sequence(F.lit(0), F.size("here") - 1), pair), lambda p: p.isNotNull()))
+    judged = computed(both, slots=pairs)
+    one = F.size(F.array_distinct(F.transform("slots", lambda p: p["i"])))
+    two = F.size(F.array_distinct(F.transform("slots", lambda p: p["d"])))
+    return judged.where((one == F.size("slots")) & (two == F.size("slots"))).select("doc_id", "text_hash", "item_id", "shift", "of", "ats", F.size("slots").alias("n_slots"), F.exists("slots", lambda p: ~p["i"].eqNullSafe(p["d"])).alias("changed"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, fewest: int = FEWEST, id_col: str = "doc_id", text_col: str = "text", broadcast: int = BROADCAST) -> DataFrame:
@@ -80,26 +115,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
     hold and give nothing; repeated rows count once; null ids pass through; of repeated item ids the
     least text counts; empty tables give no rows.
     """
-    known = written(benchmark_windows(benchmark, window, fewest), "benchmark")
+    known, items = benchmark_windows(benchmark, window, fewest)
+    known = written(known, "benchmark")
     lengths = [r["size"] for r in known.select("size").distinct().orderBy("size").collect()]  # at most one for each window size
     few = known.count() <= broadcast
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    rows = computed(rows.withColumn("text_hash", F.xxhash64("text")), words=_words(F.col("text"))).drop("text")
-    rows = computed(rows, tokens=_canonical(F.col("words"))).drop("words")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
+    rows = computed(texts, tokens=canonical(F.col("text"))).drop("text")
     found = None
     for size in lengths or [window]:
         own = known.where(F.col("size") == size).drop("size")
-        part = _exploded(rows, ["doc_id", "text_hash"], size).join(F.broadcast(own) if few else own, "h")
+        part = _windows(rows, ["doc_id", "text_hash"], size).join(F.broadcast(own) if few else own, "h")
         found = part if found is None else found.unionByName(part)
-    pairs = F.arrays_zip(F.col("item_v").alias("i"), F.col("v").alias("d"))
-    aligned = found.select("doc_id", "text_hash", "item_id", "of", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), pairs.alias("pairs"))
-    key = ["doc_id", "text_hash", "item_id", "shift"]
-    sets = aligned.groupBy(*key).agg(F.max("of").alias("of"), F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots"))
-    one_way = F.size(F.array_distinct(F.transform("slots", lambda p: p["i"])))
-    other_way = F.size(F.array_distinct(F.transform("slots", lambda p: p["d"])))
-    consistent = sets.where((one_way == F.size("slots")) & (other_way == F.size("slots")))
-    changed = F.exists("slots", lambda p: p["i"] != p["d"])
-    held = consistent.withColumn("changed", changed).groupBy("doc_id", "text_hash", "item_id").agg(F.max("of").alias("of"), F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).cast("bigint").alias("n_windows"), F.max(F.size("slots")).alias("n_slots"), F.max("changed").alias("changed"))
+    sets = found.groupBy("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.max("of").alias("of"), F.collect_set("item_at").alias("ats"), F.max("slots").alias("most"))
+    sets = written(sets, "alignments")
+    plain = sets.where("most = 0").drop("most").withColumn("n_slots", F.lit(0)).withColumn("changed", F.lit(False))
+    slotted = sets.where("most > 0").drop("most")
+    if not slotted.isEmpty():
+        plain = plain.unionByName(_consistent(slotted, texts.drop("doc_id"), items))
+    held = plain.groupBy("doc_id", "text_hash", "item_id").agg(F.max("of").alias("of"), F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).cast("bigint").alias("n_windows"), F.max("n_slots").alias("n_slots"), F.max("changed").alias("changed"))
     return held.where(F.col("n_windows") >= share * F.col("of")).select("doc_id", "text_hash", "item_id", "n_windows", "of", "n_slots", "changed")
 
 
