@@ -29,25 +29,31 @@ NUMBER, UNIT, NAME = "", "", ""
 # the classes come first and the look behind after them, so that most places fail at once
 _NUMBER = r"[0-9](?<![\p{L}\p{N}._-][0-9])[0-9]*(?:[.,:/][0-9]+)*"
 _NAME = r"\p{Lu}(?<=[^\s.!?:]\s\p{Lu})\p{L}*"
-_UNIT = rf"\s+(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\p{{L}})"
+_UNIT = rf"((?i:{'|'.join(sorted(UNITS, key=len, reverse=True))}))(?!\p{{L}})"
 _VALUE = r"[0-9]+(?:[.,:/][0-9]+)*"
 
 
+def _clean(text: Column) -> Column:
+    """The text without private-use characters, and without the one capital whose small form is no single letter."""
+    return F.translate(text, NUMBER + UNIT + NAME + "İ", "   I")
+
+
+def _marked(text: Column, kept: bool) -> Column:
+    """The text with placeholders instead of its values, or before them if these are ``kept``; both have the same words."""
+    own, value = ("$0", _VALUE) if kept else ("", "")
+    marked = F.regexp_replace(F.regexp_replace(_clean(text), _NUMBER, NUMBER + own), _NAME, NAME + own)
+    units = F.regexp_replace(marked, rf"({NUMBER}{value}\s+){_UNIT}", f"$1{UNIT}$2" if kept else f"$1{UNIT}")
+    return F.when(F.contains(marked, F.lit(NUMBER)), units).otherwise(marked)
+
+
 def canonical(text: Column) -> Column:
     """The canonical words of a text; private-use characters of the text itself are blanks."""
-    clean = F.translate(text, NUMBER + UNIT + NAME, "   ")
-    marked = F.regexp_replace(F.regexp_replace(clean, _NUMBER, NUMBER), _NAME, NAME)
-    units = F.when(F.contains(marked, F.lit(NUMBER)), F.regexp_replace(marked, f"{NUMBER}{_UNIT}", f"{NUMBER} {UNIT}")).otherwise(marked)
-    return F.array_remove(F.split(F.lower(units), rf"[^\p{{L}}\p{{N}}{NUMBER}-{NAME}]+"), "")
+    return F.array_remove(F.split(F.lower(_marked(text, False)), rf"[^\p{{L}}\p{{N}}{NUMBER}-{NAME}]+"), "")
 
 
 def values(text: Column) -> Column:
     """For each canonical word its value (placeholder and original, lower case), null if it is literal."""
-    clean = F.translate(text, NUMBER + UNIT + NAME, "   ")
-    marked = F.regexp_replace(F.regexp_replace(clean, _NUMBER, f"{NUMBER}$0"), _NAME, f"{NAME}$0")
-    units = F.regexp_replace(marked, rf"({NUMBER}{_VALUE}\s+)((?i:{'|'.join(sorted(UNITS, key=len, reverse=True))}))(?!\p{{L}})", f"$1{UNIT}$2")
-    cut = rf"(?:[^\p{{L}}\p{{N}}{NUMBER}-{NAME}.,:/]|(?<![0-9])[.,:/]|[.,:/](?![0-9]))+"
-    words = F.array_remove(F.split(F.lower(units), cut), "")
+    words = F.regexp_extract_all(F.lower(_marked(text, True)), F.lit(rf"(?:{NUMBER}{_VALUE}|[\p{{L}}\p{{N}}{UNIT}{NAME}])+"), F.lit(0))
     return F.transform(words, lambda w: F.when(F.substring(w, 1, 1).isin(NUMBER, UNIT, NAME), w))
 
 
@@ -91,7 +97,7 @@ def _consistent(aligned: DataFrame, rows: DataFrame, items: DataFrame) -> DataFr
     """Alignments whose slots map one to one, with their number and whether a value differs."""
     texts = rows.join(aligned.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"])
     both = aligned.join(computed(texts, there=values(F.col("text"))).select("text_hash", "there"), "text_hash").join(computed(items, here=values(F.col("text"))).select("item_id", "here", "size"), "item_id")
-    first = F.lower(F.regexp_extract("text", r"\p{L}+", 0))
+    first = F.lower(F.regexp_extract(_clean(F.col("text")), r"\p{L}+", 0))
     both = both.join(items.select("item_id", F.concat(F.lit(NAME), first).alias("first")), "item_id")
 
     def pair(i: Column) -> Column:

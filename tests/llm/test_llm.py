@@ -328,6 +328,19 @@ def test_reparameterised_items_are_found_and_inconsistent_ones_not(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_words_and_values_are_cut_alike(spark):
+    odd = ["use v2.0 and python3.8 at -5.3 or 10-12.5 under Apache-2.0 now", "12kg 3½ kg 1st 5. Kg 7.5 kg2 8 KG, 9/10/11 1:2. 3", "so İzmir has 5 m İ İst 3", "a \ue0005 b \ue002 c _7.1 x.9 4.-5 ٣.٤ 5٣", "", "!"]
+    rnd = random.Random(10)
+    odd += ["".join(rnd.choice("aB1 27.,:/-_½é'\nkgm İ") for _ in range(120)) for _ in range(400)]
+    rows = frame(spark, odd).select(decontaminate.canonical(F.col("text")).alias("c"), decontaminate.values(F.col("text")).alias("v")).collect()
+    slot = lambda w: w[0] in (decontaminate.NUMBER, decontaminate.UNIT, decontaminate.NAME)
+    assert [[slot(w) for w in r.c] for r in rows] == [[v is not None for v in r.v] for r in rows]
+    item = "the farmer sells 12 apples and 7 pears at the market for 3 dollars each today"
+    texts = [f"with {x} we read that {y}" for x in ("v2.0", "python3.8", "-5.3", "10-12.5", "Apache-2.0") for y in (item, item.replace("12", "5").replace("7", "9"))]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.contaminated(frame(spark, texts), bench).collect()} == set(range(10))
+
+
 def test_whole_items_are_found_as_by_search(spark):
     import re
 
