@@ -341,6 +341,18 @@ def test_words_and_values_are_cut_alike(spark):
     assert {r.doc_id for r in decontaminate.contaminated(frame(spark, texts), bench).collect()} == set(range(10))
 
 
+def test_items_of_many_values_are_found_and_their_values_compared(spark):
+    items = ["Compute 12 + 7 - 3 + 45 - 6 = 55", "Is 17 * 23 = 391?", "Sort 12 kg, 7 kg, 3 kg, 45 kg and 9 kg by size", "12, 7, 3, 45, 9, 6", "the sum is " + ", ".join(map(str, range(20, 50)))]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"we read here: {t} and so on" for t in items]
+    texts += ["so Compute 13 + 8 - 4 + 44 - 5 = 56 now", "Is 18 * 24 = 432?", "Is 5 * 5 = 25?", "we Compute 1 + 1 - 1 + 1 - 1 = 1", "so Sort 11 lb, 8 lb, 4 lb, 44 lb and 10 lb by size", "13, 8, 4, 44, 10, 5", ", ".join(map(str, range(20, 50)))]
+    for limit in (10**6, 0):
+        got = {(r.doc_id, r.item_id): r.changed for r in decontaminate.contaminated(frame(spark, texts), bench, broadcast=limit).collect()}
+        assert got == {(0, 0): False, (1, 1): False, (2, 2): False, (3, 3): False, (4, 4): False, (5, 0): True, (6, 1): True, (9, 2): True, (11, 4): False}
+    plan = decontaminate.contaminated(frame(spark, texts), bench)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_whole_items_are_found_as_by_search(spark):
     import re
 
