@@ -1,9 +1,10 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A text is the weighted set of its shingles of five words. The weight is the count times an inverse
-document frequency that only shingles of more than a tenth of the documents lose by, so that the
-copies of a text do not count against each other; frequencies are counted over all documents in a
-hashed table of fixed size. Each text takes one weighted sample for each hash; samples are banded, and
+document frequency that only shingles of more than a tenth of the documents lose by. Frequencies are
+counted in a hashed table of fixed size; for shingles that may lose weight they are counted again over
+classes of near copies found without weights, so that the copies of a text do not count against each
+other. Each text takes one weighted sample for each hash; samples are banded, and
 texts of a band are linked if their weighted Jaccard similarity, computed in full, reaches 0.8.
 
 Of a bucket no pairs are listed at first: its members are compared with one leader, linked texts
@@ -76,8 +77,8 @@ class Shingler:
 
 
 def idf(counts: np.ndarray, n: int) -> np.ndarray:
-    """1 up to a tenth of the documents, then falling with the logarithm; small tables count as a thousand documents more."""
-    return np.clip(np.log10((n + 1000) / (counts + 1)), 0.05, 1).astype(np.float32)
+    """1 up to a tenth of the documents, then falling with the logarithm."""
+    return np.clip(np.log10(max(n, 1) / (counts + 1)), 0.05, 1).astype(np.float32)
 
 
 def _frequencies(bits: int, parts: int, words: int):
@@ -109,13 +110,63 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x[0] for x in sums.values()], pa.int64()), pa.array([x[1].tobytes() for x in sums.values()], pa.binary())], names=["part", "n", "counts"])
 
 
-def inverse_frequencies(texts: DataFrame, words: int = SHINGLE, bits: int = BITS) -> np.ndarray:
-    """The table of weights, from all rows of ``texts`` (one column); its size is fixed by ``bits``."""
+def _suspect(table, words: int):
+    """Of texts that hold a shingle in a marked place of the table: key, text and the marked places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, marked = Shingler(words), table.value
+        bits = len(marked).bit_length() - 1
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            seen = set()
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if key in seen:
+                    continue
+                seen.add(key)
+                slots = np.unique(shingles(text)[0] >> _U(64 - bits)).astype(np.int32)
+                slots = slots[marked[slots]]
+                if len(slots):
+                    for x, v in zip(out, (key, text, slots)):
+                        x.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.int32()))], names=["key", "text", "slots"])
+
+    return run
+
+
+def inverse_frequencies(texts: DataFrame, words: int = SHINGLE, bits: int = BITS, **options) -> np.ndarray:
+    """The table of weights, from all rows of ``texts`` (one column); its size is fixed by ``bits``.
+
+    Shingles of at most a tenth of the different texts, counted over all rows, weigh 1. Texts with
+    others are put into classes without weights, and a class counts once.
+    """
     schema = "part int, n bigint, counts binary"
     rows = texts.mapInArrow(_frequencies(bits, PARTS, words), schema).repartition(PARTS, "part").mapInArrow(_summed, schema).orderBy("part").collect()
     if not rows:
         return idf(np.zeros(1 << bits, np.int64), 0)
-    return idf(np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows]), rows[0]["n"])
+    spark = texts.sparkSession
+    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows])
+    keyed = texts.select(text_key().alias("key"), "text")
+    n = keyed.select("key").distinct().count()
+    marked = idf(counts, n) < 1
+    if not marked.any():
+        return idf(counts, n)
+    # the bound for marking falls with the number of classes: mark anew until no more are found
+    while True:
+        held = keyed.mapInArrow(_suspect(spark.sparkContext.broadcast(marked), words), "key string, text string, slots array<int>").dropDuplicates(["key"])
+        held = written(held, "suspects")
+        ones = np.ones(1 << bits, np.float32)
+        parts = _linked(held.select("text"), ones, words=words, **options)[1]
+        rooted = held.select("key", "slots").join(parts.withColumnRenamed("node", "key"), "key", "left").select(F.coalesce("root", "key").alias("root"), "slots")
+        rooted = written(rooted, "rooted")
+        classes = n - held.count() + rooted.select("root").distinct().count()
+        again = rooted.select("root", F.explode("slots").alias("slot")).distinct().groupBy("slot").agg(F.count("*").alias("n")).collect()  # at most the table's size
+        more = marked | (idf(counts, classes) < 1)
+        if (more == marked).all():
+            counts = counts.copy()
+            for r in again:
+                counts[r["slot"]] = r["n"]
+            return idf(counts, classes)
+        marked = more
 
 
 def _gamma_quantiles(n: int = 1 << 16) -> np.ndarray:
@@ -238,9 +289,13 @@ def text_key(column: str = "text"):
 
 def links(docs: DataFrame, text_col: str = "text", similar: float = SIMILARITY, words: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """Links between different texts, ``a, b, similarity`` by the texts' keys, and the components, ``node, root``."""
-    spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    table = spark.sparkContext.broadcast(inverse_frequencies(texts, words))  # 4 * 2 ** BITS bytes
+    return _linked(texts, inverse_frequencies(texts, words, similar=similar, bands=bands, rows=rows), similar, words, bands, rows)
+
+
+def _linked(texts: DataFrame, weights: np.ndarray, similar: float = SIMILARITY, words: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """``links`` under given weights; ``texts`` has one column."""
+    table = texts.sparkSession.sparkContext.broadcast(weights)  # 4 * 2 ** BITS bytes
     keyed = texts.select(text_key().alias("key"), "text")
     signed = keyed.mapInArrow(_signatures(table, bands, rows, words), "key string, samples array<int>, buckets array<bigint>").dropDuplicates(["key"])
     signed = written(signed, "signatures")

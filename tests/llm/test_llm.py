@@ -240,6 +240,22 @@ def test_classes_equal_brute_force(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_large_groups_of_copies_keep_their_links(spark):
+    rnd = random.Random(12)
+    said = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    core = said(104)  # 100 shingles
+    edited = [*core[:50], "other", "words", *core[52:]]  # 6 of 100 shingles differ: 94 / 106
+    near = [" ".join([*core, *said(5)]) for _ in range(300)]  # 100 / 110 with each other
+    texts = [" ".join(core)] * 700 + near + [" ".join(edited)] + [" ".join(said(40)) for _ in range(1999)]
+    far = [*core[:30], "some", *core[31:80], "more", *core[81:]]
+    texts.append(" ".join(far))  # 90 / 110
+    ones = np.ones(1 << near_dedup.BITS, np.float32)
+    sets = [near_dedup.Shingler()(t) for t in (texts[0], texts[1000], texts[-1])]
+    assert all(near_dedup.similarity(ones, sets[0], x) >= 0.8 for x in sets[1:])
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, texts)).collect()}
+    assert all(got[i] == 0 for i in [*range(1001), 3000]) and all(got[i] == i for i in range(1001, 3000))
+
+
 def test_samples_estimate_the_similarity():
     rng = np.random.default_rng(3)
     h = rng.integers(0, 2**63, 300).astype(np.uint64)
