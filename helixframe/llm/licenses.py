@@ -7,6 +7,7 @@ table by n holds the templates that remain, so a unit meets few of them and most
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -49,7 +50,7 @@ def template_bigrams(text: str) -> list[str]:
 
 def sizes(m: int, threshold: float) -> range:
     """The bigram counts of units that can reach the threshold with a template of ``m``."""
-    return range(max(1, -int(-m * threshold / (2 - threshold) // 1)), int(m * (2 - threshold) / threshold + 1e-9) + 1)
+    return range(max(1, math.ceil(m * threshold / (2 - threshold) - 1e-9)), int(m * (2 - threshold) / threshold + 1e-9) + 1)
 
 
 def _bigrams(words: Column) -> Column:

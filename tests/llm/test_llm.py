@@ -158,6 +158,19 @@ def test_licences_equal_brute_force_and_sql(spark, tmp_path):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_units_at_exactly_the_threshold_have_their_licence(spark, tmp_path):
+    import duckdb
+
+    assert [licenses.sizes(m, 0.8)[0] for m in (1, 3, 6, 12, 21, 24, 27, 33)] == [1, 2, 4, 8, 14, 16, 18, 22]
+    docs = frame(spark, ["Licensed under CC BY-SA", "Licensed under CC BY-NC", "Licensed under CC"])
+    got = sorted((r.doc_id, r.unit, r.line_no, r.license, r.dice) for r in licenses.scan(docs).collect())
+    assert got == [(0, "line", 1, "CC-BY-SA-4.0", 0.8), (1, "line", 1, "CC-BY-NC-4.0", 0.8)]
+    docs.write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
+    assert sorted(con.sql(licenses.oracle()).fetchall()) == got
+
+
 # 6: personal data
 def test_surrogates_are_consistent_distinct_and_of_one_format(spark):
     texts = ["Mail anna.berg@corp.com or ANNA.BERG@corp.com, call +1 (017) 555-7713.", "Mrs Anna Berg met Mr. Paul Stone; Mr Stone paid with 4539578763621486 from 83.229.25.121", "083.229.25.121 is 83.229.25.121? card 4539 5787 6362 1486 ssn 123-45-6789", None, "", "clean text 12 34 v1.2.3", "Госпожа Анна Петрова"]
