@@ -4,7 +4,8 @@ Detected entities (email, phone, IP address, card and social-security numbers, n
 get surrogates of the same type and format from a keyed permutation of the characters of each
 alphabet; names come from lists by gender and script. All surrogates of the corpus are checked
 against each other and against the real entities, and drawn again until they are distinct; equal
-entities have equal surrogates everywhere, names part by part.
+entities have equal surrogates everywhere, names part by part. A name found behind a title is replaced
+wherever the text repeats it; the gender of a given name is that of its titles in the whole corpus.
 """
 
 from __future__ import annotations
@@ -144,6 +145,24 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _repeated(text: str, people: dict[str, dict[str, str]], found: set[int]) -> Iterator[tuple[int, int, str, str]]:
+    """Other places of names that the text has behind titles; one that is both is a given name where a family name follows."""
+    family, given = people["family"], people["given"]
+    names = "|".join(re.escape(n) for n in sorted({*family, *given}, key=len, reverse=True))
+    places = [m for m in re.finditer(rf"(?<![\w])(?:{names})(?![\w])", text, re.IGNORECASE) if m[0][0].isupper()]
+    for i, m in enumerate(places):
+        name = m[0].lower()
+        follows = i + 1 < len(places) and text[m.end() : places[i + 1].start()] == " " and places[i + 1][0].lower() in family
+        kind = given.get(name) if name in given and (follows or name not in family) else family.get(name)
+        if kind and m.start() not in found:
+            yield *m.span(), kind, name
+
+
+def _group(kind: str) -> str:
+    """The kind without a gender: within it entities and surrogates are told apart."""
+    return re.sub("^given-[fmn]-", "given-", kind)
+
+
 def detected(text: str) -> list[tuple[int, int, str, str]]:
     """Start, end, type and canonical form of the entities, in order and without overlap."""
     out: list[tuple[int, int, str, str]] = []
@@ -154,12 +173,18 @@ def detected(text: str) -> list[tuple[int, int, str, str]]:
     for m in NUMBER.finditer(text):
         kind = "ssn" if m["ssn"] else "card" if m["card"] else "phone"
         out.append((*m.span(), kind, _digits(m[0])))
+    people: dict[str, dict[str, str]] = {"family": {}, "given": {}}
     for m in PERSON.finditer(text):
         gender = _TITLE[m[1]]
-        if m[3]:
-            out += [(*m.span(2), f"given-{gender}-{_script(m[2])}", m[2].lower()), (*m.span(3), f"family-{_script(m[3])}", m[3].lower())]
-        else:
-            out.append((*m.span(2), f"family-{_script(m[2])}", m[2].lower()))
+        for part, g in (("given", 2), ("family", 3)) if m[3] else (("family", 2),):
+            a, b = m.span(g)
+            b -= 2 * text[a:b].endswith(("'s", "’s"))
+            name = text[a:b].lower()
+            kind = f"given-{gender}-{_script(name)}" if part == "given" else f"family-{_script(name)}"
+            out.append((a, b, kind, name))
+            people[part].setdefault(name, kind)
+    if any(people.values()):
+        out += _repeated(text, people, {x[0] for x in out})
     out.sort(key=lambda x: (x[0], -x[1]))
     kept: list[tuple[int, int, str, str]] = []
     for x in out:
@@ -193,9 +218,11 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def surrogates(entities: DataFrame, key: bytes = KEY, rounds: int = ROUNDS) -> DataFrame:
-    """``kind, value, new`` for distinct (kind, value): no ``new`` of a kind occurs twice or is a real value of it."""
+    """``kind, value, new`` for distinct (kind, value): no ``new`` of a kind, genders apart, occurs twice or is a real value of it."""
     from pyspark.sql.functions import pandas_udf
 
+    group = F.regexp_replace("kind", "^given-[fmn]-", "given-")
+
     @pandas_udf("string")
     def drawn(kind: pd.Series, value: pd.Series, attempt: pd.Series) -> pd.Series:
         return pd.Series([surrogate(key, k, v, a) for k, v, a in zip(kind, value, attempt)], index=kind.index, dtype=object)
@@ -208,9 +235,10 @@ def surrogates(entities: DataFrame, key: bytes = KEY, rounds: int = ROUNDS) -> D
             tried = tried.withColumn("settled", F.lit(False)).unionByName(done.withColumn("settled", F.lit(True)))
         else:
             tried = tried.withColumn("settled", F.lit(False))
-        holder = tried.groupBy("kind", "new").agg(F.min(F.struct((~F.col("settled")).alias("late"), "value")).alias("holder"))
-        taken = real.select("kind", F.col("value").alias("new"), F.lit(True).alias("real"))
-        judged = written(tried.join(holder, ["kind", "new"]).join(taken, ["kind", "new"], "left").withColumn("good", F.col("settled") | (F.col("real").isNull() & (F.col("holder.value") == F.col("value")) & (F.col("new") != F.col("value")))).select("kind", "value", "attempt", "new", "good"), "surrogates")
+        tried = tried.withColumn("of", group)
+        holder = tried.groupBy("of", "new").agg(F.min(F.struct((~F.col("settled")).alias("late"), "value")).alias("holder"))
+        taken = real.select(group.alias("of"), F.col("value").alias("new"), F.lit(True).alias("real")).distinct()
+        judged = written(tried.join(holder, ["of", "new"]).join(taken, ["of", "new"], "left").withColumn("good", F.col("settled") | (F.col("real").isNull() & (F.col("holder.value") == F.col("value")) & (F.col("new") != F.col("value")))).select("kind", "value", "attempt", "new", "good"), "surrogates")
         done = judged.where("good").drop("good")
         open_ = judged.where("not good").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
         if open_.isEmpty():
@@ -230,8 +258,14 @@ def replaced(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataF
     rest = docs.where(~maybe).withColumn("n_replaced", F.lit(0))
     keyed = docs.where(maybe).withColumn(mark, F.sha2(column.cast("binary"), 256))
     entities = written(keyed.select(mark, text_col).mapInArrow(_found, "key string, kind string, value string").distinct(), "found")
-    new = surrogates(entities, key)
-    maps = entities.join(new, ["kind", "value"]).groupBy("key").agg(F.collect_list(F.struct("kind", "value", "new")).alias("__new")).withColumnRenamed("key", mark)
+    group = F.regexp_replace("kind", "^given-[fmn]-", "given-")
+    gender = F.regexp_extract("kind", "^given-([fm])-", 1)
+    kinds = entities.select("kind", "value").distinct().groupBy(group.alias("of"), "value").agg(F.collect_set(F.nullif(gender, F.lit(""))).alias("genders"))
+    one = F.when(F.size("genders") == 1, F.get("genders", F.lit(0))).otherwise("n")
+    resolved = kinds.select(F.when(F.col("of").startswith("given-"), F.concat(F.lit("given-"), one, F.substring("of", 6, 100))).otherwise(F.col("of")).alias("kind"), "value")
+    new = surrogates(resolved, key).select(group.alias("of"), "value", "new")
+    said = entities.select("key", group.alias("of"), "value").distinct()
+    maps = said.join(new, ["of", "value"]).groupBy("key").agg(F.collect_list(F.struct("of", "value", "new")).alias("__new")).withColumnRenamed("key", mark)
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("text string, n int")
@@ -241,10 +275,10 @@ def replaced(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataF
             if pairs is None:
                 out.append((t, 0))
                 continue
-            known = {(p["kind"], p["value"]): p["new"] for p in pairs}
+            known = {(p["of"], p["value"]): p["new"] for p in pairs}
             parts, at, n = [], 0, 0
             for a, b, kind, value in detected(t):
-                parts += [t[at:a], rendered(t[a:b], kind, known[kind, value])]
+                parts += [t[at:a], rendered(t[a:b], kind, known[_group(kind), value])]
                 at, n = b, n + 1
             out.append(("".join([*parts, t[at:]]), n))
         return pd.DataFrame(out, columns=["text", "n"])

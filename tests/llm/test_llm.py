@@ -190,6 +190,19 @@ def test_surrogates_are_consistent_distinct_and_of_one_format(spark):
     assert all("Ѐ" <= c <= "ӿ" for c in got[6].text.split()[1])
 
 
+def test_names_are_replaced_wherever_a_text_repeats_them(spark):
+    texts = ["Mrs Anna Berg came. Anna said that ANNA and Berg's bergs replied: Anna Berg.", "Dr Anna Berg's friend", "Dr Kim Lane or Mr Kim Lane", "Anna and Berg alone"]
+    got = [r.text for r in pii.replaced(frame(spark, texts)).orderBy("doc_id").collect()]
+    first = got[0].split()
+    given, family = first[1], first[2]
+    assert "Anna" not in got[0] and "Berg" not in got[0] and given != family
+    assert got[0] == f"Mrs {given} {family} came. {given} said that {given.upper()} and {family}'s bergs replied: {given} {family}."
+    assert got[1] == f"Dr {given} {family}'s friend" and got[3] == texts[3]
+    assert any(given.startswith(n) for n in pii.GIVEN["latin"]["f"].split())
+    kim = got[2].split()
+    assert kim[1] == kim[5] and any(kim[1].startswith(n) for n in pii.GIVEN["latin"]["m"].split())
+
+
 def test_detection_of_neighbouring_numbers():
     kinds = lambda t: [(k, t[a:b]) for a, b, k, _ in pii.detected(t)]
     assert kinds("x 7536784127813050 4845168114407329 y") == [("card", "7536784127813050"), ("card", "4845168114407329")]
