@@ -81,7 +81,7 @@ def pileup_columns(spark, sf_dir):
 @query(None)
 def pileup_text(spark, sf_dir):
     """The pileup's lines."""
-    return pileup.text(pileup.columns(alignments(spark, sf_dir)))
+    return pileup.text(pileup.columns(alignments(spark, sf_dir), None))
 
 
 @query(f"{_RECORDS}, e AS (SELECT qname, seq, i, ops[i].n AS n, ops[i].op AS op, coalesce(list_sum([x.n for x in ops[1:i - 1] if contains('MIS=X', x.op)]), 0)::INT AS q0 FROM o, LATERAL (SELECT unnest(range(1, len(ops) + 1)) AS i)) SELECT qname, coalesce(string_agg(CASE WHEN op IN ('M', '=', 'X') THEN substr(seq, q0 + 1, n) WHEN op IN ('D', 'N') THEN repeat('N', n) ELSE '' END, '' ORDER BY i), '') AS shown FROM e GROUP BY qname")

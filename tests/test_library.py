@@ -183,6 +183,14 @@ def test_seeds_and_candidates(spark):
     assert [(r.offset, r.length) for r in seed.longest(joined, ["name", "chrom_id"], k=8).collect()] == [(0, 12)]
 
 
+def test_pileup_text_takes_all_reads_of_a_place(spark, monkeypatch):
+    from helixframe.plans import records
+
+    rows = spark.range(8001).select(F.format_string("r%05d", "id").alias("qname"), F.lit(0).alias("flag"), F.lit("c").alias("rname"), F.lit(0).alias("pos"), F.lit("1M").alias("cigar"), F.lit("A").alias("seq"), F.lit("I").alias("qual"))
+    monkeypatch.setattr(records, "alignments", lambda spark, sf_dir: rows)
+    assert [(r.depth, len(r.bases)) for r in records.pileup_text(spark, "").collect()] == [(8001, 8001)]
+
+
 def test_pileup_and_mates(spark):
     rows = [("a", 99, "z", 4, "5M", 7, "ACGTA", "IIIII"), ("a", 147, "z", 6, "2M1D2M", -7, "GTCC", "!III"), ("b", 4, "z", 4, "5M", 0, "AAAAA", "IIIII")]
     records = spark.createDataFrame(rows, "qname string, flag int, rname string, pos int, cigar string, tlen int, seq string, qual string")
