@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +70,29 @@ def bucketed(df: DataFrame, tag: str, column: str, buckets: int) -> DataFrame:
     name = "helixframe_" + path.rsplit("-", 1)[1]
     df.write.bucketBy(buckets, column).option("path", path).saveAsTable(name)
     return spark.table(name)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that clash with none of ``df``'s, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def lean(run: Callable) -> Callable:
+    """A partition function after which the Python worker, which lives on, gives its free memory back."""
+
+    @functools.wraps(run)
+    def wrapped(*args):
+        yield from run(*args)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library keeps it
+            pass
+
+    return wrapped

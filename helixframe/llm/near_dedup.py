@@ -4,16 +4,21 @@ A text is the weighted set of its shingles of five words. The weight is the coun
 document frequency that only shingles of more than a tenth of the documents lose by. Frequencies are
 counted in a hashed table of fixed size; for shingles that may lose weight they are counted again over
 classes of near copies found without weights, so that the copies of a text do not count against each
-other. Each text takes one weighted sample for each hash; samples are banded, and
-texts of a band are linked if their weighted Jaccard similarity, computed in full, reaches 0.8.
-
-Of a bucket no pairs are listed at first: its members are compared with one leader, linked texts
-become one component, and only members that this leaves outside of the leader's component are
-compared with the rest. Equal texts are one text throughout.
+other. Each text takes one weighted sample for each hash; samples are banded, and texts of a band are
+linked if their weighted Jaccard similarity, computed in full, reaches 0.8.
+
+Of a bucket no pairs are listed. Its members are compared with one leader, the member whose own buckets
+are largest, and linked texts become components. Members that are not linked to their leader are
+joined exactly instead, each once and not bucket by bucket: two texts of that similarity share a
+shingle among the rarest of both (a prefix that leaves less weight than their overlap needs), at places
+behind which enough weight is left, and their total weights are alike. Texts that are linked to their
+leader take part only where the triangle inequality lets another member of their bucket come near.
+Equal texts are one text throughout.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -25,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import written
+from helixframe.llm.common import fresh, lean, written
 from helixframe.llm.components import connected
 
 SIMILARITY, SHINGLE = 0.8, 5
@@ -33,10 +38,10 @@ SIMILARITY, SHINGLE = 0.8, 5
 BANDS, ROWS = 10, 2
 #: Bits of the table of document frequencies, and its parts as they travel.
 BITS, PARTS = 18, 16
-#: Samples in which two texts of a bucket agree at least, for the second comparison (below 9 of 20: 1 in 10,000 at 0.8).
-AGREE = 9
-#: Words that a task remembers.
-REMEMBERED = 1_000_000
+#: Words that a task remembers; characters and texts that it takes at a time (a longer text alone).
+REMEMBERED, CHARS, TEXTS = 200_000, 2_000_000, 4096
+#: Shares of a leader's members, and the ratio between classes of total weight.
+SALTS, STEP = 64, 1.05
 
 WORD = re.compile(r"\w+")
 _U = np.uint64
@@ -52,28 +57,79 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+class _Hashes(dict):
+    """Hashes of words, put down when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
 class Shingler:
-    """Hashes of a text's different shingles and their counts."""
+    """Hashes of texts' different shingles (52 bits, above 12 empty ones) and their counts."""
 
     def __init__(self, words: int = SHINGLE):
-        self.words, self.known = words, {}
+        self.words, self.known = words, _Hashes()
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        known = self.known
-        found = WORD.findall(text.lower())
-        for w in set(found):  # a difference with the dictionary's keys would walk through all of them
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, found), _U, len(found))
-        if len(known) > REMEMBERED:
-            known.clear()
-        if not len(h):
-            return h, np.zeros(0, np.int64)
-        k = min(self.words, len(h))
+    def _summed(self, h: np.ndarray, k: int) -> np.ndarray:
         out = np.zeros(len(h) - k + 1, _U)
         for i in range(k):
             out += h[i : len(h) - k + 1 + i] * _FACTORS[i % len(_FACTORS)] + _U(i)
-        return np.unique(_mixed(out), return_counts=True)
+        return out
+
+    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of up to 4096 texts: hashes by text and size, counts, and where each text begins (and the end)."""
+        if len(self.known) > REMEMBERED:
+            self.known = _Hashes()
+        said: list[str] = []
+        sizes = np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            found = WORD.findall(text.lower())
+            sizes[i] = len(found)
+            said += found
+        h = np.fromiter(map(self.known.__getitem__, said), _U, len(said))
+        del said
+        k, ends = self.words, np.cumsum(sizes)
+        owner = np.repeat(np.arange(len(texts), dtype=_U), sizes)
+        if len(h) >= k:
+            inside = np.arange(len(h) - k + 1) + k <= np.repeat(ends, sizes)[: len(h) - k + 1]
+            keys = [(_mixed(self._summed(h, k)[inside]) >> _U(12)) | (owner[: len(inside)][inside] << _U(52))]
+        else:
+            keys = [np.zeros(0, _U)]
+        for i in np.flatnonzero((sizes > 0) & (sizes < k)).tolist():  # fewer words are one shingle
+            one = self._summed(h[ends[i] - sizes[i] : ends[i]], int(sizes[i]))
+            keys.append((_mixed(one) >> _U(12)) | _U(i << 52))
+        key = np.sort(np.concatenate(keys))
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        counts, key = np.diff(np.append(first, len(key))), key[first]
+        return key << _U(12), counts, np.searchsorted(key >> _U(52), np.arange(len(texts) + 1, dtype=_U))
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        return self.batch([text])[:2]
+
+
+def _portions(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows, whose last item is the text, in lists of bounded size."""
+    held, chars = [], 0
+    for row in rows:
+        if held and (chars + len(row[-1]) > CHARS or len(held) == TEXTS):
+            yield held
+            held, chars = [], 0
+        held.append(row)
+        chars += len(row[-1])
+    if held:
+        yield held
+
+
+def _rows(batches: Iterator[pa.RecordBatch], once: bool = False) -> Iterator[tuple]:
+    """The batches' rows; with ``once`` those whose first item did not come before in the batch."""
+    for batch in batches:
+        seen = set()
+        for at in range(0, batch.num_rows, 512):  # few texts as Python strings at a time
+            for row in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns)):
+                if not once or row[0] not in seen:
+                    seen.add(row[0])
+                    yield row
 
 
 def idf(counts: np.ndarray, n: int) -> np.ndarray:
@@ -82,15 +138,15 @@ def idf(counts: np.ndarray, n: int) -> np.ndarray:
 
 
 def _frequencies(bits: int, parts: int, words: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, shingles, n = np.zeros(1 << bits, np.int64), Shingler(words), 0
-        for batch in batches:
-            slots = []
-            for text in batch.column(0).to_pylist():
-                slots.append(np.unique(shingles(text or "")[0] >> _U(64 - bits)).astype(np.int64))
-                n += 1
-            if slots:
-                table += np.bincount(np.concatenate(slots), minlength=1 << bits)
+        for held in _portions(_rows(batches)):
+            h, _, bounds = shingles.batch([t for (t,) in held])
+            places = (h >> _U(64 - bits)) | (np.repeat(np.arange(len(held), dtype=_U), np.diff(bounds)) << _U(bits))
+            places = places[np.concatenate([[True], places[1:] != places[:-1]])] if len(places) else places
+            table += np.bincount((places & _U((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+            n += len(held)
         if n:
             pack = zstandard.ZstdCompressor(3).compress
             yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([n] * parts, pa.int64()), pa.array([pack(x.astype(np.uint32).tobytes()) for x in np.split(table, parts)], pa.binary())], names=["part", "n", "counts"])
@@ -113,17 +169,15 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _suspect(table, words: int):
     """Of texts that hold a shingle in a marked place of the table: key, text and the marked places."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, marked = Shingler(words), table.value
         bits = len(marked).bit_length() - 1
-        for batch in batches:
+        for held in _portions(_rows(batches, once=True)):
+            h, _, bounds = shingles.batch([t for _, t in held])
             out: list[list] = [[], [], []]
-            seen = set()
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if key in seen:
-                    continue
-                seen.add(key)
-                slots = np.unique(shingles(text)[0] >> _U(64 - bits)).astype(np.int32)
+            for (key, text), a, b in zip(held, bounds[:-1].tolist(), bounds[1:].tolist()):
+                slots = np.unique(h[a:b] >> _U(64 - bits)).astype(np.int32)
                 slots = slots[marked[slots]]
                 if len(slots):
                     for x, v in zip(out, (key, text, slots)):
@@ -133,39 +187,44 @@ def _suspect(table, words: int):
     return run
 
 
-def inverse_frequencies(texts: DataFrame, words: int = SHINGLE, bits: int = BITS, **options) -> np.ndarray:
-    """The table of weights, from all rows of ``texts`` (one column); its size is fixed by ``bits``.
+def frequencies(texts: DataFrame, words: int = SHINGLE, bits: int = BITS) -> np.ndarray:
+    """In how many rows of ``texts`` (one column) each place of the table occurs; its size is fixed by ``bits``."""
+    schema = "part int, n bigint, counts binary"
+    rows = texts.mapInArrow(_frequencies(bits, PARTS, words), schema).repartition(PARTS, "part").mapInArrow(_summed, schema).orderBy("part").collect()
+    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows]) if rows else np.zeros(1 << bits, np.int64)
+
+
+def inverse_frequencies(texts: DataFrame, words: int = SHINGLE, bits: int = BITS, **options) -> tuple[np.ndarray, np.ndarray]:
+    """The table of weights, and the counts it rests on, from all rows of ``texts`` (one column).
 
     Shingles of at most a tenth of the different texts, counted over all rows, weigh 1. Texts with
     others are put into classes without weights, and a class counts once.
     """
-    schema = "part int, n bigint, counts binary"
-    rows = texts.mapInArrow(_frequencies(bits, PARTS, words), schema).repartition(PARTS, "part").mapInArrow(_summed, schema).orderBy("part").collect()
-    if not rows:
-        return idf(np.zeros(1 << bits, np.int64), 0)
+    counts = frequencies(texts, words, bits)
+    if not counts.any():
+        return idf(counts, 0), counts
     spark = texts.sparkSession
-    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows])
     keyed = texts.select(text_key().alias("key"), "text")
     n = keyed.select("key").distinct().count()
     marked = idf(counts, n) < 1
     if not marked.any():
-        return idf(counts, n)
+        return idf(counts, n), counts
     # the bound for marking falls with the number of classes: mark anew until no more are found
     while True:
         held = keyed.mapInArrow(_suspect(spark.sparkContext.broadcast(marked), words), "key string, text string, slots array<int>").dropDuplicates(["key"])
         held = written(held, "suspects")
         ones = np.ones(1 << bits, np.float32)
-        parts = _linked(held.select("text"), ones, words=words, **options)[1]
+        parts = _linked(held.select("text"), ones, counts, words=words, **options)[1]
         rooted = held.select("key", "slots").join(parts.withColumnRenamed("node", "key"), "key", "left").select(F.coalesce("root", "key").alias("root"), "slots")
         rooted = written(rooted, "rooted")
         classes = n - held.count() + rooted.select("root").distinct().count()
         again = rooted.select("root", F.explode("slots").alias("slot")).distinct().groupBy("slot").agg(F.count("*").alias("n")).collect()  # at most the table's size
         more = marked | (idf(counts, classes) < 1)
         if (more == marked).all():
-            counts = counts.copy()
+            fewer = counts.copy()
             for r in again:
-                counts[r["slot"]] = r["n"]
-            return idf(counts, classes)
+                fewer[r["slot"]] = r["n"]
+            return idf(fewer, classes), counts
         marked = more
 
 
@@ -214,37 +273,23 @@ def _weights(table: np.ndarray, shingles: np.ndarray, counts: np.ndarray) -> np.
     return counts.astype(np.float32) * table[(shingles >> _U(64 - bits)).astype(np.int64)]
 
 
-def _signatures(table, bands: int, rows: int, words: int, chunk: int = 400_000):
+def _signatures(table, bands: int, rows: int, words: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, sampler = Shingler(words), Sampler(bands * rows)
-
-        def out(keys, parts) -> pa.RecordBatch:
-            starts = np.cumsum([0] + [len(h) for h, _ in parts[:-1]])
-            h = np.concatenate([p[0] for p in parts])
-            s = sampler(h, _weights(table.value, h, np.concatenate([p[1] for p in parts])), starts)
-            buckets = np.zeros((len(keys), bands), _U)
+        for held in _portions(_rows(batches, once=True)):
+            h, counts, bounds = shingles.batch([t for _, t in held])
+            some = np.flatnonzero(np.diff(bounds))
+            if not len(some):
+                continue
+            weights, starts = _weights(table.value, h, counts), bounds[some]
+            s = sampler(h, weights, starts)
+            buckets = np.zeros((len(some), bands), _U)
             for i in range(rows):
                 buckets = _mixed(buckets * _FACTORS[2] + s[:, i::rows])
             buckets = _mixed(buckets + np.arange(1, bands + 1, dtype=_U) * _FACTORS[3])
-            lists = lambda a, kind: pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(np.ascontiguousarray(a).reshape(-1).view(kind)))
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), lists((s >> _U(32)).astype(np.uint32), np.int32), lists(buckets, np.int64)], names=["key", "samples", "buckets"])
-
-        for batch in batches:
-            keys, parts, n, seen = [], [], 0, set()
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if key in seen:
-                    continue
-                seen.add(key)
-                own = shingles(text)
-                if len(own[0]):
-                    keys.append(key)
-                    parts.append(own)
-                    n += len(own[0])
-                if n > chunk:
-                    yield out(keys, parts)
-                    keys, parts, n = [], [], 0
-            if keys:
-                yield out(keys, parts)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), pa.array(np.ascontiguousarray(buckets).reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in some.tolist()], pa.string()), pa.array(np.add.reduceat(weights.astype(float), starts)), lists], names=["key", "weight", "buckets"])
 
     return run
 
@@ -260,6 +305,7 @@ def similarity(table: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.
 
 
 def _verified(table, words: int, least: float):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, recent = Shingler(words), OrderedDict()
 
@@ -283,45 +329,108 @@ def _verified(table, words: int, least: float):
     return run
 
 
+def _class_of(weight: float) -> int:
+    return math.floor(math.log(weight) / math.log(STEP))
+
+
+_PREFIX = "token bigint, class int, asks boolean, side int, key string, root string, w double, left double"
+
+
+def _prefixes(table, order, words: int, t: float):
+    """Rows of a text's rarest shingles: to be found by texts of at least its weight, and to ask with for texts of at most its weight.
+
+    ``left`` is the weight of the shingle and all behind it. Side 0 holds pairs that ask for texts
+    that are not linked to their leader, side 1 the others' questions to these.
+    """
+    slack = 1e-9
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, bits = Shingler(words), len(order.value).bit_length() - 1
+        for held in _portions(_rows(batches, once=True)):
+            h, counts, bounds = shingles.batch([r[-1] for r in held])
+            weights = _weights(table.value, h, counts).astype(float)
+            out: list[list] = [[] for _ in range(8)]
+            for (key, root, apart, _), a, b in zip(held, bounds[:-1].tolist(), bounds[1:].tolist()):
+                by = np.lexsort((h[a:b], order.value[(h[a:b] >> _U(64 - bits)).astype(np.int64)]))
+                own = weights[a:b][by]
+                w = own.sum()
+                left = w - np.cumsum(own) + own
+                for token, rest in zip(h[a:b][by][left >= t * w * (1 - slack)].view(np.int64).tolist(), left.tolist()):
+                    if rest >= 2 * t / (1 + t) * w * (1 - slack):
+                        for side in (0, 1) if apart else (0,):
+                            for x, v in zip(out, (token, _class_of(w), False, side, key, root, w, rest)):
+                                x.append(v)
+                    most = min(w, rest * (1 + t) / t - w) * (1 + slack)
+                    if most > 0:
+                        for c in range(_class_of(t * w * (1 - slack)), _class_of(most) + 1):
+                            for x, v in zip(out, (token, c, True, 0 if apart else 1, key, root, w, rest)):
+                                x.append(v)
+            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["token", "class", "asks", "side", "key", "root", "w", "left"])
+
+    return run
+
+
 def text_key(column: str = "text"):
     return F.md5(F.col(column).cast("binary"))
 
 
 def links(docs: DataFrame, text_col: str = "text", similar: float = SIMILARITY, words: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """Links between different texts, ``a, b, similarity`` by the texts' keys, and the components, ``node, root``."""
+    """Links between different texts, ``a, b, similarity`` by the texts' keys, and the components, ``node, root``.
+
+    The links connect all that is linked; of texts that others connect already a link may be left out.
+    """
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return _linked(texts, inverse_frequencies(texts, words, similar=similar, bands=bands, rows=rows), similar, words, bands, rows)
+    return _linked(texts, *inverse_frequencies(texts, words, similar=similar, bands=bands, rows=rows), similar, words, bands, rows)
 
 
-def _linked(texts: DataFrame, weights: np.ndarray, similar: float = SIMILARITY, words: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """``links`` under given weights; ``texts`` has one column."""
-    table = texts.sparkSession.sparkContext.broadcast(weights)  # 4 * 2 ** BITS bytes
+def _linked(texts: DataFrame, weights: np.ndarray, counts: np.ndarray, similar: float = SIMILARITY, words: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """``links`` under given weights; ``texts`` has one column, ``counts`` tells rare shingles from frequent ones."""
+    context = texts.sparkSession.sparkContext
+    table, order = context.broadcast(weights), context.broadcast(counts)  # 4 and 8 * 2 ** BITS bytes
     keyed = texts.select(text_key().alias("key"), "text")
-    signed = keyed.mapInArrow(_signatures(table, bands, rows, words), "key string, samples array<int>, buckets array<bigint>").dropDuplicates(["key"])
-    signed = written(signed, "signatures")
-    members = signed.select("key", "samples", F.explode("buckets").alias("bucket"))
-    order = F.struct(F.xxhash64("bucket", "key").alias("h"), "key")
-    leaders = members.groupBy("bucket").agg(F.min(order).alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("leader.key").alias("leader"))
-    members = written(members.join(leaders, "bucket"), "members")
-    star = members.where("key <> leader").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
-
-    def judged(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "pairs")
+    signed = keyed.mapInArrow(_signatures(table, bands, rows, words), "key string, weight double, buckets array<bigint>").dropDuplicates(["key"])
+    members = written(signed, "signatures").select("key", "weight", F.explode("buckets").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(members.join(shared, "bucket"), "members")
+    central = members.groupBy("key").agg(F.sum("n").alias("all"))
+    order_of = F.struct("all", F.xxhash64("key").alias("h"), "key", "weight")
+    leaders = members.join(central, "key").groupBy("bucket").agg(F.max(order_of).alias("x")).select("bucket", F.col("x.key").alias("leader"), F.col("x.weight").alias("heavy"))
+    members = written(members.drop("n").join(leaders, "bucket"), "members")
+    # a pair's similarity is at most the lesser weight by the greater
+    alike = F.least("weight", "heavy") >= (2 * similar - 1) * F.greatest("weight", "heavy") * (1 - 1e-6)
+    star = members.where((F.col("key") != F.col("leader")) & alike).select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+
+    def judged(pairs: DataFrame, least: float) -> DataFrame:
+        """The pairs ``a, b`` of at least that similarity; an ``a`` may have many partners."""
+        pairs = written(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))), "pairs")
         asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
         needed = written(keyed.join(asked, "key", "left_semi").dropDuplicates(["key"]), "texts")
-        full = pairs.join(needed.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(needed.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
-        return full.select("a", "b", "x", "y").mapInArrow(_verified(table, words, similar), "a string, b string, similarity double")
+        ones = pairs.select("a", "salt").distinct().join(needed.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
+        full = pairs.join(needed.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").join(ones, ["a", "salt"])
+        return written(full.select("a", "b", "x", "y").mapInArrow(_verified(table, words, least), "a string, b string, similarity double"), "verified")
 
-    first = written(judged(star), "verified")
+    near = judged(star, 2 * similar - 1)
+    first = near.where(F.col("similarity") >= similar)
     parts = connected(first)
-    roots = parts.withColumnRenamed("node", "key")
-    placed = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")).join(roots.select(F.col("key").alias("leader"), F.col("root").alias("lead")), "leader", "left").withColumn("lead", F.coalesce("lead", "leader"))
-    placed = written(placed.select("bucket", "key", "samples", "root", (F.col("root") != F.col("lead")).alias("outside"), (F.col("key") == F.col("leader")).alias("leads")), "placed")
-    left = placed.where("outside").select("bucket", F.col("key").alias("u"), F.col("samples").alias("su"), F.col("root").alias("ru"))
-    agree = F.aggregate(F.zip_with("su", "samples", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    rest = left.join(placed, (left["bucket"] == placed["bucket"]) & (F.col("ru") != F.col("root")) & ~F.col("leads") & (agree >= min(AGREE, bands * rows)))
-    second = rest.select(F.least("u", "key").alias("a"), F.greatest("u", "key").alias("b")).distinct()
-    second = written(judged(second), "verified")
+    rooted = parts.withColumnRenamed("node", "key")
+    told = members.join(near.select(F.col("a").alias("leader"), F.col("b").alias("key"), "similarity"), ["leader", "key"], "left").join(rooted, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    told = told.join(parts.select(F.col("node").alias("leader"), F.col("root").alias("lead")), "leader", "left").withColumn("lead", F.coalesce("lead", "leader"))
+    led = F.col("key") == F.col("leader")
+    told = written(told.select("bucket", "key", "root", led.alias("leads"), (F.col("root") != F.col("lead")).alias("outside"), "similarity"), "placed")
+    torn = told.where("outside").groupBy("bucket").agg(F.max("similarity").alias("nearest"))
+    direct = F.coalesce(F.col("similarity") >= similar, F.lit(False))
+    # a member linked to the leader is near another only if that one is at 2 * similar - 1 to the leader
+    asked = told.join(torn, "bucket").where(~F.col("leads") & (~direct | F.col("nearest").isNotNull())).groupBy("key", "root").agg((~F.min(direct)).alias("apart"))
+    asked = written(asked.join(keyed.dropDuplicates(["key"]), "key"), "remaining")
+    rest = asked.select("key", "root", "apart", "text").mapInArrow(_prefixes(table, order, words, similar), _PREFIX)
+    a, b = rest.where("not asks"), rest.where("asks")
+    b = b.select("token", "class", "side", *(F.col(c).alias(f"{c}_b") for c in ("key", "root", "w", "left")))
+    lighter = (F.col("w") < F.col("w_b")) | ((F.col("w") == F.col("w_b")) & (F.col("key") < F.col("key_b")))
+    enough = F.least("left", "left_b") >= similar / (1 + similar) * (F.col("w") + F.col("w_b")) * (1 - 1e-9)
+    pairs = a.join(b, ["token", "class", "side"]).where((F.col("root") != F.col("root_b")) & lighter & enough).select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct()
+    second = judged(pairs, similar)
     if second.isEmpty():
         return first, parts
     every = first.unionByName(second)
@@ -332,8 +441,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``doc_id, class_id, n_class, n_links``, a row for each row of ``docs``.
 
     A class holds equal texts and texts linked to each other, directly or through others; its id is
-    the least document id in it. ``n_links`` counts the different texts that the row's text was found
-    linked to. Texts of fewer than five words are one shingle; texts without words have no links; null
+    the least document id in it. ``n_links`` counts the different texts that the row's text was compared
+    with and linked to; texts that others connect already are not compared. Texts of fewer than five words are one shingle; texts without words have no links; null
     texts are empty. Null ids get a class (of id null if all its ids are); empty tables give no rows.
     """
     found, parts = links(docs, text_col, **options)
@@ -346,13 +455,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each class: that of the least id (null ids last), one of it if rows repeat."""
+    """``docs`` with one row of each class: that of the least id (null ids last), one of it if rows repeat.
+
+    All columns are kept, whatever their names.
+    """
     _, parts = links(docs, text_col, **options)
-    whole = docs.withColumn("__key", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    ids = whole.select("__key", F.col(id_col).alias("__id")).groupBy("__key", "__id").agg(F.count("*").alias("__n"))
-    rooted = ids.join(parts.select(F.col("node").alias("__key"), "root"), "__key", "left").withColumn("root", F.coalesce("root", "__key"))
-    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__key", "__n")).alias("x"))
-    kept = written(best.select(F.col("x.__id").alias("__id"), F.col("x.__key").alias("__key"), F.col("x.__n").alias("__n")), "kept")
-    joined = whole.join(kept.withColumnRenamed("__key", "__k"), (F.col("__key") == F.col("__k")) & F.col(id_col).eqNullSafe(F.col("__id")))
-    once = joined.where("__n > 1").dropDuplicates(["__key", "__id"])
-    return joined.where("__n = 1").unionByName(once).drop("__key", "__k", "__id", "__n")
+    key, other, own, times = fresh(docs, "key", "other", "id", "times")
+    whole = docs.withColumn(key, F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    ids = whole.select(F.col(key).alias("key"), F.col(id_col).alias("id")).groupBy("key", "id").agg(F.count("*").alias("n"))
+    rooted = ids.join(parts.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "n")).alias("x"))
+    kept = written(best.select(F.col("x.id").alias(own), F.col("x.key").alias(other), F.col("x.n").alias(times)), "kept")
+    joined = whole.join(kept, (F.col(key) == F.col(other)) & F.col(id_col).eqNullSafe(F.col(own)))
+    once = joined.where(F.col(times) > 1).dropDuplicates([key, own])
+    return joined.where(F.col(times) == 1).unionByName(once).drop(key, other, own, times)

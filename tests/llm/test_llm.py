@@ -282,6 +282,49 @@ def test_large_groups_of_copies_keep_their_links(spark):
     assert all(got[i] == 0 for i in [*range(1001), 3000]) and all(got[i] == i for i in range(1001, 3000))
 
 
+def test_groups_below_the_threshold_lose_no_link(spark):
+    rnd = random.Random(21)
+    core = [f"w{i}" for i in range(100)]
+
+    def changed(words, n):
+        out = list(words)
+        for i in rnd.sample(range(len(out)), n):
+            out[i] = f"x{rnd.randrange(10**9)}"
+        return out
+
+    group = [changed(core, rnd.choice((3, 4, 5, 6))) for _ in range(120)]  # similarities around and below 0.8
+    group += [changed(rnd.choice(group), rnd.choice((1, 2))) for _ in range(60)]  # edited again: near one of them, not near the rest
+    spam = [["buy"] * 60 + [f"y{rnd.randrange(10**9)}" for _ in range(n)] for n in (5, 10, 40, 41, 80) for _ in range(12)]
+    texts = [" ".join(x) for x in (*group, *spam)]
+    docs = frame(spark, texts)
+    found, _ = near_dedup.links(docs)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    weights = near_dedup.inverse_frequencies(docs.select("text"))[0]
+    sets = [near_dedup.Shingler()(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    n = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if near_dedup.similarity(weights, sets[i], sets[j]) >= 0.8:
+                n += 1
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    assert [got[i] for i in range(len(texts))] == [root(i) for i in range(len(texts))] and len(set(got.values())) > 20
+    assert n and found.where("similarity < 0.8").isEmpty()
+
+
+def test_rows_of_any_columns_are_deduplicated(spark):
+    docs = frame(spark, ["one two three four five six", "one two three four five six", None, "", "other words"]).withColumn("KEY_", F.lit(1)).withColumn("id", F.lit("x")).withColumn("times", F.lit(2)).withColumn("__key", F.lit("z"))
+    kept = near_dedup.deduplicated(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 4]
+
+
 def test_samples_estimate_the_similarity():
     rng = np.random.default_rng(3)
     h = rng.integers(0, 2**63, 300).astype(np.uint64)
