@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import bucketed, partitions
+from helixframe.llm.common import bucketed, lean, partitions, trim
 
 #: Characters that a block holds (a single longer text is a block of its own).
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 #: Distinct words that a task remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: Shares of the words, at most.
 SHARES = 4096
 
@@ -74,6 +74,7 @@ def _unpacked(b: bytes, kind) -> np.ndarray:
 
 
 def _blocks(pattern: str, shares: int, block_chars: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, task, n = splitter(pattern), TaskContext.get().partitionId(), 0
         ids: list = []
@@ -102,7 +103,7 @@ def _blocks(pattern: str, shares: int, block_chars: int):
             )
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, text in ((k, t) for i in range(0, batch.num_rows, 512) for k, t in zip(*(c.to_pylist() for c in batch.slice(i, 512).columns))):
                 if chars and chars + len(text) > block_chars:
                     yield block()
                     n, ids, ends, seq, known, chars = n + 1, [], [], [], {}, 0
@@ -121,6 +122,7 @@ def _blocks(pattern: str, shares: int, block_chars: int):
 def _encoded(vocabulary):
     """Each word once: its ids. A word is a single piece, so the pattern here takes all of it."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
@@ -217,6 +219,8 @@ def _digests(vocabulary):
             decoded = b"".join(map(table.__getitem__, ids.tolist()))  # the join with the token-byte table
             for x, v in zip(out, (key, len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded).hexdigest())):
                 x.append(v)
+        said = None
+        trim()
         return pa.table({"doc_id": pa.array(out[0], pa.int64()), "n_tokens": pa.array(out[1], pa.int64()), "ids_sha256": pa.array(out[2], pa.string()), "decoded_sha256": pa.array(out[3], pa.string())})
 
     return run

@@ -83,16 +83,21 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def trim() -> None:
+    """Give free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps it
+        pass
+
+
 def lean(run: Callable) -> Callable:
     """A partition function after which the Python worker, which lives on, gives its free memory back."""
 
     @functools.wraps(run)
     def wrapped(*args):
         yield from run(*args)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library keeps it
-            pass
+        trim()
 
     return wrapped
