@@ -2,9 +2,9 @@
 
 A text is the weighted set of its shingles of five words. The weight is the count times an inverse
 document frequency that only shingles of more than a tenth of the documents lose by. Frequencies are
-counted in a hashed table of fixed size; for shingles that may lose weight they are counted again over
-classes of near copies found without weights, so that the copies of a text do not count against each
-other. Each text takes one weighted sample for each hash; samples are banded, and texts of a band are
+counted in a hashed table of fixed size; for shingles that may lose weight they are counted again, each
+text as one by the number of texts alike (the size of its median bucket without weights), so that the
+copies of a text do not count against each other. Each text takes one weighted sample for each hash; samples are banded, and texts of a band are
 linked if their weighted Jaccard similarity, computed in full, reaches 0.8.
 
 Of a bucket no pairs are listed. Its members are compared with one leader, the member whose own buckets
@@ -25,12 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import fresh, lean, written
+from helixframe.llm.common import fresh, lean, released, written
 from helixframe.llm.components import connected
 
 SIMILARITY, SHINGLE = 0.8, 5
@@ -38,12 +37,13 @@ SIMILARITY, SHINGLE = 0.8, 5
 BANDS, ROWS = 10, 2
 #: Bits of the table of document frequencies, and its parts as they travel.
 BITS, PARTS = 18, 16
-#: Words that a task remembers; characters and texts that it takes at a time (a longer text alone).
-REMEMBERED, CHARS, TEXTS = 200_000, 2_000_000, 4096
+#: Characters and texts that a task takes at a time (a longer text alone).
+CHARS, TEXTS = 400_000, 4096
 #: Shares of a leader's members, and the ratio between classes of total weight.
 SALTS, STEP = 64, 1.05
 
-WORD = re.compile(r"\w+")
+#: Characters that are neither ASCII nor part of a word.
+NO_WORD = re.compile(r"[^\w\x00-\x7f]+")
 _U = np.uint64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], _U)
 
@@ -57,19 +57,26 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class _Hashes(dict):
-    """Hashes of words, put down when first asked for."""
+class Shingler:
+    """Hashes of texts' different shingles (52 bits, above 12 empty ones) and their counts.
 
-    def __missing__(self, word: str) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+    Words are runs of letters, digits and underscores in lower case; their hashes are differences of
+    polynomial prefix sums over the bytes of all texts at a time.
+    """
 
-
-class Shingler:
-    """Hashes of texts' different shingles (52 bits, above 12 empty ones) and their counts."""
+    _byte = np.random.default_rng(5).integers(0, 2**64, 256, _U)
+    _inside = np.array([c >= 128 or chr(c).isalnum() or c == 95 for c in range(256)])
+    _base = 0x9E3779B97F4A7C15
+    _up = _down = np.zeros(0, _U)
 
     def __init__(self, words: int = SHINGLE):
-        self.words, self.known = words, _Hashes()
+        self.words = words
+
+    @classmethod
+    def _powers(cls, n: int) -> None:
+        if len(cls._up) < n:
+            n = max(n, CHARS + TEXTS)
+            cls._up, cls._down = (np.multiply.accumulate(np.concatenate([[_U(1)], np.full(n - 1, x, _U)])) for x in (_U(cls._base), _U(pow(cls._base, -1, 2**64))))
 
     def _summed(self, h: np.ndarray, k: int) -> np.ndarray:
         out = np.zeros(len(h) - k + 1, _U)
@@ -77,18 +84,23 @@ class Shingler:
             out += h[i : len(h) - k + 1 + i] * _FACTORS[i % len(_FACTORS)] + _U(i)
         return out
 
+    def _hashed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all words, and how many each text has."""
+        raw = [(t if t.isascii() else NO_WORD.sub(" ", t)).encode() for t in map(str.lower, texts)]
+        data = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+        del raw
+        edges = np.flatnonzero(np.diff(self._inside[data].view(np.int8))) + 1
+        first, end = edges[::2], edges[1::2]
+        self._powers(len(data))
+        sums = np.zeros(len(data) + 1, _U)
+        np.cumsum(self._byte[data] * self._up[: len(data)], out=sums[1:])
+        h = _mixed((sums[end] - sums[first]) * self._down[first])
+        return h, np.diff(np.searchsorted(first, np.concatenate([[0], np.cumsum(sizes) + 1])))
+
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of up to 4096 texts: hashes by text and size, counts, and where each text begins (and the end)."""
-        if len(self.known) > REMEMBERED:
-            self.known = _Hashes()
-        said: list[str] = []
-        sizes = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            found = WORD.findall(text.lower())
-            sizes[i] = len(found)
-            said += found
-        h = np.fromiter(map(self.known.__getitem__, said), _U, len(said))
-        del said
+        h, sizes = self._hashed(texts)
         k, ends = self.words, np.cumsum(sizes)
         owner = np.repeat(np.arange(len(texts), dtype=_U), sizes)
         if len(h) >= k:
@@ -167,7 +179,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suspect(table, words: int):
-    """Of texts that hold a shingle in a marked place of the table: key, text and the marked places."""
+    """Of texts that hold a shingle in a marked place of the table: key and the marked places."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,14 +187,30 @@ def _suspect(table, words: int):
         bits = len(marked).bit_length() - 1
         for held in _portions(_rows(batches, once=True)):
             h, _, bounds = shingles.batch([t for _, t in held])
-            out: list[list] = [[], [], []]
-            for (key, text), a, b in zip(held, bounds[:-1].tolist(), bounds[1:].tolist()):
-                slots = np.unique(h[a:b] >> _U(64 - bits)).astype(np.int32)
-                slots = slots[marked[slots]]
-                if len(slots):
-                    for x, v in zip(out, (key, text, slots)):
-                        x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.int32()))], names=["key", "text", "slots"])
+            places = (h >> _U(64 - bits)).astype(np.int32)
+            seen = marked[places]
+            keys, slots = [], []
+            for (key, _), a, b in zip(held, bounds[:-1].tolist(), bounds[1:].tolist()):
+                if seen[a:b].any():
+                    keys.append(key)
+                    slots.append(np.unique(places[a:b][seen[a:b]]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(slots, pa.list_(pa.int32()))], names=["key", "slots"])
+
+    return run
+
+
+def _shares(size: int):
+    """Of ``slots, n``: a row for each place and task, the sum of 1 / n."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(size)
+        for batch in batches:
+            lists = batch.column(0)
+            share = np.repeat(1 / batch.column(1).to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False))
+            table += np.bincount(lists.flatten().to_numpy(zero_copy_only=False), share, size)
+        found = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(table[found])], names=["slot", "n"])
 
     return run
 
@@ -194,40 +222,6 @@ def frequencies(texts: DataFrame, words: int = SHINGLE, bits: int = BITS) -> np.
     return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows]) if rows else np.zeros(1 << bits, np.int64)
 
 
-def inverse_frequencies(texts: DataFrame, words: int = SHINGLE, bits: int = BITS, **options) -> tuple[np.ndarray, np.ndarray]:
-    """The table of weights, and the counts it rests on, from all rows of ``texts`` (one column).
-
-    Shingles of at most a tenth of the different texts, counted over all rows, weigh 1. Texts with
-    others are put into classes without weights, and a class counts once.
-    """
-    counts = frequencies(texts, words, bits)
-    if not counts.any():
-        return idf(counts, 0), counts
-    spark = texts.sparkSession
-    keyed = texts.select(text_key().alias("key"), "text")
-    n = keyed.select("key").distinct().count()
-    marked = idf(counts, n) < 1
-    if not marked.any():
-        return idf(counts, n), counts
-    # the bound for marking falls with the number of classes: mark anew until no more are found
-    while True:
-        held = keyed.mapInArrow(_suspect(spark.sparkContext.broadcast(marked), words), "key string, text string, slots array<int>").dropDuplicates(["key"])
-        held = written(held, "suspects")
-        ones = np.ones(1 << bits, np.float32)
-        parts = _linked(held.select("text"), ones, counts, words=words, **options)[1]
-        rooted = held.select("key", "slots").join(parts.withColumnRenamed("node", "key"), "key", "left").select(F.coalesce("root", "key").alias("root"), "slots")
-        rooted = written(rooted, "rooted")
-        classes = n - held.count() + rooted.select("root").distinct().count()
-        again = rooted.select("root", F.explode("slots").alias("slot")).distinct().groupBy("slot").agg(F.count("*").alias("n")).collect()  # at most the table's size
-        more = marked | (idf(counts, classes) < 1)
-        if (more == marked).all():
-            fewer = counts.copy()
-            for r in again:
-                fewer[r["slot"]] = r["n"]
-            return idf(fewer, classes), counts
-        marked = more
-
-
 def _gamma_quantiles(n: int = 1 << 16) -> np.ndarray:
     """Quantiles of the gamma distribution of shape 2, by bisection of 1 - (1 + x) exp(-x)."""
     p = (np.arange(n) + 0.5) / n
@@ -249,23 +243,28 @@ class Sampler:
         self.seeds = _mixed(np.arange(1, hashes + 1, dtype=_U) * _FACTORS[0])
 
     def __call__(self, shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Of texts whose shingles begin at ``starts`` (none is empty): an array of texts by hashes."""
-        size = np.diff(np.append(starts, len(shingles)))
-        log_w = np.log(weights)
+        """Of texts whose shingles begin at ``starts`` (none is empty): an array of texts by hashes.
+
+        A value and its shingle make one number: its order is that of the values, and it is the same
+        in two texts only for the same shingle at the same level.
+        """
+        other = np.flatnonzero(weights != 1)
+        log_w = np.log(weights[other])
         out = np.empty((len(starts), len(self.seeds)), _U)
         low = _U(0xFFFF)
         for k, seed in enumerate(self.seeds):
-            x = _mixed(shingles ^ seed)
-            r = self.r[x & low]
-            b = self.b[(x >> _U(16)) & low]
-            level = np.floor(log_w / r + b)
-            value = self.log_c[(x >> _U(32)) & low] - r * (level - b + 1)
-            least = value == np.repeat(np.minimum.reduceat(value, starts), size)
-            tie = np.where(least, x, ~_U(0))
-            at = np.flatnonzero(tie == np.repeat(np.minimum.reduceat(tie, starts), size))
-            at = at[np.searchsorted(at, starts)]
-            out[:, k] = _mixed(shingles[at] + level[at].astype(np.int64).astype(_U) * _FACTORS[1])
-        return out
+            x = (shingles ^ seed) * _FACTORS[4]
+            x ^= x >> _U(29)
+            x *= _FACTORS[5]
+            r, b = self.r[x >> _U(48)], self.b[(x >> _U(32)) & low]
+            above = 1 - b  # the level less b, and one; of weight 1 the level is 0
+            if len(other):
+                above[other] += np.floor(log_w / r[other] + b[other])
+            value = (self.log_c[(x >> _U(16)) & low] - r * above).view(np.int32)
+            value ^= (value >> 31) & 0x7FFFFFFF  # floats in the order of integers
+            packed = (value.astype(np.int64) << 32) | (x & _U(0xFFFFFFFF)).view(np.int64)
+            out[:, k] = np.minimum.reduceat(packed, starts).view(_U)
+        return _mixed(out)
 
 
 def _weights(table: np.ndarray, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -273,16 +272,26 @@ def _weights(table: np.ndarray, shingles: np.ndarray, counts: np.ndarray) -> np.
     return counts.astype(np.float32) * table[(shingles >> _U(64 - bits)).astype(np.int64)]
 
 
-def _signatures(table, bands: int, rows: int, words: int):
+def _signatures(table, bands: int, rows: int, words: int, changed: bool = False):
+    """Total weight and buckets of each text with words; with ``changed`` only of texts that hold a weight below 1."""
+
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, sampler = Shingler(words), Sampler(bands * rows)
         for held in _portions(_rows(batches, once=True)):
             h, counts, bounds = shingles.batch([t for _, t in held])
-            some = np.flatnonzero(np.diff(bounds))
+            if changed:
+                below = np.concatenate([[0], np.cumsum(_weights(table.value, h, np.ones(len(h))) < 1)])
+                some = np.flatnonzero(np.diff(below[bounds]))
+                inside = np.repeat(np.diff(below[bounds]) > 0, np.diff(bounds))
+                h, counts, size = h[inside], counts[inside], np.diff(bounds)[some]
+                starts = np.cumsum(size) - size
+            else:
+                some = np.flatnonzero(np.diff(bounds))
+                starts = bounds[some]
             if not len(some):
                 continue
-            weights, starts = _weights(table.value, h, counts), bounds[some]
+            weights = _weights(table.value, h, counts)
             s = sampler(h, weights, starts)
             buckets = np.zeros((len(some), bands), _U)
             for i in range(rows):
@@ -376,28 +385,71 @@ def text_key(column: str = "text"):
     return F.md5(F.col(column).cast("binary"))
 
 
-def links(docs: DataFrame, text_col: str = "text", similar: float = SIMILARITY, words: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+def _shared(signed: DataFrame) -> DataFrame:
+    """``bucket, key, weight, n`` of buckets with ``n > 1`` members."""
+    members = signed.select("key", "weight", F.explode("buckets").alias("bucket"))
+    return written(members.join(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"), "members")
+
+
+def _weighed(keyed: DataFrame, counts: np.ndarray, words: int, bands: int, rows: int) -> tuple[np.ndarray, DataFrame, DataFrame]:
+    """The table of weights, the signatures under them, and the members of shared buckets.
+
+    Shingles of at most a tenth of the texts weigh 1, and the first signatures hold for texts of these
+    alone. Where places of the table lie above, a text counts as one by the size of its median bucket,
+    so that the copies of a text count about once.
+    """
+    spark, bits = keyed.sparkSession, len(counts).bit_length() - 1
+    schema = "key string, weight double, buckets array<bigint>"
+    broadcast = spark.sparkContext.broadcast
+    ones = broadcast(np.ones(1 << bits, np.float32))
+    signed = written(keyed.mapInArrow(_signatures(ones, bands, rows, words), schema).dropDuplicates(["key"]), "signatures")
+    members = _shared(signed)
+    alike = members.groupBy("key").agg(F.sort_array(F.collect_list("n"), asc=False).alias("n"))  # at most one for each band
+    alike = alike.select("key", F.get("n", F.lit((bands - 1) // 2)).alias("n")).where("n is not null")
+    n = signed.count()
+    fewer, copies = alike.agg(F.sum(1 / F.col("n")), F.count("*")).first()
+    classes = n - copies + (fewer or 0)
+    marked = idf(counts, classes) < 1
+    if not marked.any():
+        return ones.value, signed, members
+    held = keyed.mapInArrow(_suspect(broadcast(marked), words), "key string, slots array<int>").dropDuplicates(["key"])
+    told = held.join(alike, "key", "left").select("slots", F.coalesce("n", F.lit(1)).cast("double").alias("n"))
+    again = told.mapInArrow(_shares(1 << bits), "slot int, n double").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # at most the table's size
+    counts = counts.astype(float)
+    for r in again:
+        counts[r["slot"]] = r["n"]
+    weights = idf(counts, classes)
+    if not (weights < 1).any():
+        return weights, signed, members
+    less = written(keyed.mapInArrow(_signatures(broadcast(weights), bands, rows, words, changed=True), schema).dropDuplicates(["key"]), "signatures")
+    every = signed.join(less.select("key"), "key", "left_anti").unionByName(less)
+    new = _shared(every)
+    released(spark, members)
+    return weights, every, new
+
+
+def inverse_frequencies(texts: DataFrame, words: int = SHINGLE, bits: int = BITS, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """The table of weights, from all rows of ``texts`` (one column)."""
+    return _weighed(texts.select(text_key().alias("key"), "text"), frequencies(texts, words, bits), words, bands, rows)[0]
+
+
+def links(docs: DataFrame, text_col: str = "text", similar: float = SIMILARITY, words: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """Links between different texts, ``a, b, similarity`` by the texts' keys, and the components, ``node, root``.
 
     The links connect all that is linked; of texts that others connect already a link may be left out.
     """
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return _linked(texts, *inverse_frequencies(texts, words, similar=similar, bands=bands, rows=rows), similar, words, bands, rows)
-
-
-def _linked(texts: DataFrame, weights: np.ndarray, counts: np.ndarray, similar: float = SIMILARITY, words: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """``links`` under given weights; ``texts`` has one column, ``counts`` tells rare shingles from frequent ones."""
-    context = texts.sparkSession.sparkContext
-    table, order = context.broadcast(weights), context.broadcast(counts)  # 4 and 8 * 2 ** BITS bytes
+    spark = texts.sparkSession
+    counts = frequencies(texts, words, bits)
     keyed = texts.select(text_key().alias("key"), "text")
-    signed = keyed.mapInArrow(_signatures(table, bands, rows, words), "key string, weight double, buckets array<bigint>").dropDuplicates(["key"])
-    members = written(signed, "signatures").select("key", "weight", F.explode("buckets").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(members.join(shared, "bucket"), "members")
+    weights, signed, members = _weighed(keyed, counts, words, bands, rows)
+    table, order = spark.sparkContext.broadcast(weights), spark.sparkContext.broadcast(counts)  # 4 and 8 * 2 ** BITS bytes
+    scratch = [signed, members]
     central = members.groupBy("key").agg(F.sum("n").alias("all"))
     order_of = F.struct("all", F.xxhash64("key").alias("h"), "key", "weight")
     leaders = members.join(central, "key").groupBy("bucket").agg(F.max(order_of).alias("x")).select("bucket", F.col("x.key").alias("leader"), F.col("x.weight").alias("heavy"))
     members = written(members.drop("n").join(leaders, "bucket"), "members")
+    scratch.append(members)
     # a pair's similarity is at most the lesser weight by the greater
     alike = F.least("weight", "heavy") >= (2 * similar - 1) * F.greatest("weight", "heavy") * (1 - 1e-6)
     star = members.where((F.col("key") != F.col("leader")) & alike).select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
@@ -409,6 +461,7 @@ def _linked(texts: DataFrame, weights: np.ndarray, counts: np.ndarray, similar:
         needed = written(keyed.join(asked, "key", "left_semi").dropDuplicates(["key"]), "texts")
         ones = pairs.select("a", "salt").distinct().join(needed.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
         full = pairs.join(needed.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").join(ones, ["a", "salt"])
+        scratch.extend((pairs, needed))
         return written(full.select("a", "b", "x", "y").mapInArrow(_verified(table, words, least), "a string, b string, similarity double"), "verified")
 
     near = judged(star, 2 * similar - 1)
@@ -431,6 +484,8 @@ def _linked(texts: DataFrame, weights: np.ndarray, counts: np.ndarray, similar:
     enough = F.least("left", "left_b") >= similar / (1 + similar) * (F.col("w") + F.col("w_b")) * (1 - 1e-9)
     pairs = a.join(b, ["token", "class", "side"]).where((F.col("root") != F.col("root_b")) & lighter & enough).select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct()
     second = judged(pairs, similar)
+    for done in (*scratch, told, asked):
+        released(spark, done)
     if second.isEmpty():
         return first, parts
     every = first.unionByName(second)

@@ -299,7 +299,7 @@ def test_groups_below_the_threshold_lose_no_link(spark):
     docs = frame(spark, texts)
     found, _ = near_dedup.links(docs)
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
-    weights = near_dedup.inverse_frequencies(docs.select("text"))[0]
+    weights = near_dedup.inverse_frequencies(docs.select("text"))
     sets = [near_dedup.Shingler()(t) for t in texts]
     parent = list(range(len(texts)))
 
