@@ -1,7 +1,7 @@
 """Personal data replaced by keyed surrogates.
 
-Detected entities (email, phone, IP address, card and social-security numbers, names after a title)
-get surrogates of the same type and format from a keyed permutation of the characters of each
+Detected entities (email, phone, IP address, card and social-security numbers, names after a title or
+that begin with a common given name) get surrogates of the same type and format from a keyed permutation of the characters of each
 alphabet; names come from lists by gender and script. All surrogates of the corpus are checked
 against each other and against the real entities, and drawn again until they are distinct; equal
 entities have equal surrogates everywhere, names part by part. A name found behind a title is replaced
@@ -10,23 +10,27 @@ wherever the text repeats it; the gender of a given name is that of its titles i
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 import re
+import secrets
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import written
+from helixframe.llm.common import fresh, written
 
-KEY = b"helixframe surrogate key"
+#: The session's setting that holds the key, in hexadecimal.
+KEY = "helixframe.pii.key"
 #: Rounds of drawing again, after which an entity that still collides is an error.
 ROUNDS = 20
 
-EMAIL = re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+")
+DOMAIN = re.compile(r"@[\w-]+(?:\.[\w-]+)+")
 IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![\w]|\.[0-9])")
 _BEFORE, _BEHIND = r"(?<![\w.+-])", r"(?![\w]|[.,-][0-9])"
 NUMBER = re.compile(
@@ -54,9 +58,33 @@ _TITLE = {t: g for g, text in TITLES.items() for t in text.split()}
 _NAME = r"[^\W\d_a-zа-яα-ω][^\W\d_]+(?:[-'’][^\W\d_]+)?"
 PERSON = re.compile(rf"\b({'|'.join(sorted(_TITLE, key=len, reverse=True))})\b\.? ({_NAME})(?: ({_NAME}))?")
 
-#: Alphabets within which characters are exchanged.
+# Given names by which a person is known without a title, where another capitalised word follows.
+COMMON = {
+    "f": "Alice Amanda Amy Anna Barbara Betty Carol Carolyn Catherine Christine Cynthia Deborah Donna Dorothy Elizabeth Emily Emma Hannah Heather Helen Isabella Jane Janet Jennifer Jessica Joan Julia Karen Kathleen Katherine Laura Linda Lisa Lucia Margaret Maria Marie Martha Mary Melissa Michelle Nancy Nicole Olivia Pamela Patricia Rachel Rebecca Ruth Samantha Sandra Sarah Sharon Shirley Sofia Sophie Stephanie Susan Teresa Virginia",
+    "m": "Aaron Adam Alexander Andrew Anthony Antonio Benjamin Brian Carlos Charles Christopher Daniel David Dennis Donald Douglas Edward Eric Frank Gary George Gregory Hans Henry Jack Jacob James Jason Jeffrey Jerry John Jonathan Jose Joseph Joshua Juan Justin Keith Kenneth Kevin Larry Lukas Luis Matthew Michael Miguel Nathan Nicholas Patrick Paul Peter Philip Pierre Raymond Richard Robert Roger Ronald Ryan Samuel Scott Stephen Steven Thomas Timothy Walter William",
+}
+_KNOWN = {n: g for g, text in COMMON.items() for n in text.split()}
+FULL = re.compile(rf"\b({_NAME})\b (?=({_NAME}))")
+WORDS = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)?")
+
+#: Alphabets within which characters are exchanged; letters and digits of other scripts stay within their kind and page of 256.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœß", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω")
-_WHERE = {c: (a, i) for a, text in enumerate(ALPHABETS) for i, c in enumerate(text)}
+_WHERE = {c: (text, i) for text in ALPHABETS for i, c in enumerate(text)}
+
+
+@functools.lru_cache(maxsize=4096)
+def _page(page: int, category: str) -> str:
+    return "".join(c for c in map(chr, range(page << 8, (page + 1) << 8)) if unicodedata.category(c) == category and c.lower() == c)
+
+
+def _place(c: str) -> tuple[str, int] | None:
+    """The alphabet of a character and its place there; None for characters that stay as they are."""
+    if (found := _WHERE.get(c)) or c.isascii():
+        return found
+    category = unicodedata.category(c)
+    if category[0] != "L" and category != "Nd" or (i := _page(ord(c) >> 8, category).find(c)) < 0:
+        return None
+    return _page(ord(c) >> 8, category), i
 
 
 def _drawn(key: bytes, *parts: object) -> int:
@@ -68,14 +96,15 @@ def permuted(key: bytes, kind: str, text: str, attempt: int = 0) -> str:
 
     An unbalanced Feistel network over the mixed-radix numbers of the even and odd places.
     """
-    places = [i for i, c in enumerate(text) if c in _WHERE]
-    form = "".join(chr(_WHERE[c][0]) if c in _WHERE else c for c in text)
+    known = [_place(c) for c in text]
+    places = [i for i, at in enumerate(known) if at]
+    form = "".join(at[0][0] if at else c for c, at in zip(text, known))
     halves = []
     for half in (places[::2], places[1::2]):
         value, radix = 0, 1
         for i in half:
-            a, n = _WHERE[text[i]]
-            value, radix = value * len(ALPHABETS[a]) + n, radix * len(ALPHABETS[a])
+            alphabet, n = known[i]
+            value, radix = value * len(alphabet) + n, radix * len(alphabet)
         halves.append([half, value, radix])
     for r in range(8):
         to, of = halves[r % 2], halves[1 - r % 2]
@@ -83,7 +112,7 @@ def permuted(key: bytes, kind: str, text: str, attempt: int = 0) -> str:
     out = list(text)
     for half, value, _ in halves:
         for i in reversed(half):
-            alphabet = ALPHABETS[_WHERE[text[i]][0]]
+            alphabet = known[i][0]
             value, n = divmod(value, len(alphabet))
             out[i] = alphabet[n]
     return "".join(out)
@@ -115,10 +144,10 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         if luhn(value):
             return next(body + c for c in "0123456789" if luhn(body + c))
         return body + permuted(key, "card end", tail, attempt + _drawn(key, body) % 97)
-    if kind == "phone" and len(value) >= 10 and value[-7:-4] == "555":  # numbers kept for fiction stay such
+    if kind == "phone" and len(value) >= 10 and value[-7:-4] == "555" and attempt < ROUNDS // 2:  # numbers kept for fiction stay such
         moved = permuted(key, kind, value[-10:-7] + value[-4:], attempt)
         return value[:-10] + moved[:3] + "555" + moved[3:]
-    if kind == "phone" and len(value) > 10:
+    if kind == "phone" and len(value) > 10 and attempt < ROUNDS // 2:
         return value[:-10] + permuted(key, kind, value[-10:], attempt)
     if kind == "ip":
         octets = [int(x) for x in value.split(".")]
@@ -130,7 +159,10 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         local, _, domain = value.partition("@")
         host, dot, rest = domain.partition(".")
         reserved = domain.endswith(("example.com", "example.org", "example.net"))
-        return permuted(key, kind, local, attempt) + "@" + (permuted(key, "host", host) if reserved and rest.startswith("example.") else host if reserved else permuted(key, "host", host)) + dot + rest
+        moved = permuted(key, kind, local, attempt)
+        more = 0 if attempt < 2 and moved != local else 1 + attempt // 2  # short and unchanging names grow until they differ
+        moved += "".join(ALPHABETS[1][_drawn(key, "more", value, attempt, i) % 26] for i in range(more))
+        return moved + "@" + (permuted(key, "host", host) if reserved and rest.startswith("example.") else host if reserved else permuted(key, "host", host)) + dot + rest
     if kind.startswith("given"):
         _, gender, script = kind.split("-")
         names = (GIVEN[script]["f"] + " " + GIVEN[script]["m"] if gender == "n" else GIVEN[script][gender]).split()
@@ -145,17 +177,39 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Places of addresses: found by their domain, and from there to the left, so that the time stays linear."""
+    done = 0
+    for m in DOMAIN.finditer(text):
+        a = m.start()
+        while a > done and ((c := text[a - 1]).isalnum() or c in "_.+%-"):
+            a -= 1
+        if a < m.start():
+            yield a, m.end()
+            done = m.end()
+
+
+def _words(text: str) -> Iterator[tuple[int, int, str]]:
+    """Words that begin with a capital: whole, and the parts of joined ones."""
+    for m in WORDS.finditer(text):
+        if not (m[0][0].isupper() or any(c.isupper() for c in m[0])):
+            continue
+        yield *m.span(), m[0]
+        cut = next((i for i, c in enumerate(m[0]) if c in "-'’"), 0)
+        if cut:
+            yield m.start(), m.start() + cut, m[0][:cut]
+            yield m.start() + cut + 1, m.end(), m[0][cut + 1 :]
+
+
 def _repeated(text: str, people: dict[str, dict[str, str]], found: set[int]) -> Iterator[tuple[int, int, str, str]]:
     """Other places of names that the text has behind titles; one that is both is a given name where a family name follows."""
     family, given = people["family"], people["given"]
-    names = "|".join(re.escape(n) for n in sorted({*family, *given}, key=len, reverse=True))
-    places = [m for m in re.finditer(rf"(?<![\w])(?:{names})(?![\w])", text, re.IGNORECASE) if m[0][0].isupper()]
-    for i, m in enumerate(places):
-        name = m[0].lower()
-        follows = i + 1 < len(places) and text[m.end() : places[i + 1].start()] == " " and places[i + 1][0].lower() in family
+    places = [(a, b, w.lower()) for a, b, w in _words(text) if w[0].isupper() and (w.lower() in family or w.lower() in given)]
+    for i, (a, b, name) in enumerate(places):
+        follows = i + 1 < len(places) and text[b : places[i + 1][0]] == " " and places[i + 1][2] in family
         kind = given.get(name) if name in given and (follows or name not in family) else family.get(name)
-        if kind and m.start() not in found:
-            yield *m.span(), kind, name
+        if kind and a not in found:
+            yield a, b, kind, name
 
 
 def _group(kind: str) -> str:
@@ -167,7 +221,7 @@ def detected(text: str) -> list[tuple[int, int, str, str]]:
     """Start, end, type and canonical form of the entities, in order and without overlap."""
     out: list[tuple[int, int, str, str]] = []
     if "@" in text:
-        out += [(*m.span(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
+        out += [(a, b, "email", text[a:b].lower()) for a, b in _emails(text)]
     for m in IP.finditer(text):
         out.append((*m.span(), "ip", ".".join(str(int(x)) for x in m[0].split("."))))
     for m in NUMBER.finditer(text):
@@ -183,6 +237,15 @@ def detected(text: str) -> list[tuple[int, int, str, str]]:
             kind = f"given-{gender}-{_script(name)}" if part == "given" else f"family-{_script(name)}"
             out.append((a, b, kind, name))
             people[part].setdefault(name, kind)
+    for m in FULL.finditer(text):
+        if (gender := _KNOWN.get(m[1])) and m[2] not in _TITLE:
+            for part, g in (("given", 1), ("family", 2)):
+                a, b = m.span(g)
+                b -= 2 * text[a:b].endswith(("'s", "’s"))
+                name = text[a:b].lower()
+                kind = people[part].setdefault(name, f"given-{gender}-{_script(name)}" if part == "given" else f"family-{_script(name)}")
+                if a not in {x[0] for x in out[-4:]}:
+                    out.append((a, b, kind, name))
     if any(people.values()):
         out += _repeated(text, people, {x[0] for x in out})
     out.sort(key=lambda x: (x[0], -x[1]))
@@ -217,10 +280,19 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], names=["key", "kind", "value"])
 
 
-def surrogates(entities: DataFrame, key: bytes = KEY, rounds: int = ROUNDS) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session's setting holds; a session without one draws a key and keeps it there."""
+    if not (text := spark.conf.get(KEY, None)):
+        text = secrets.token_hex(32)
+        spark.conf.set(KEY, text)
+    return bytes.fromhex(text)
+
+
+def surrogates(entities: DataFrame, key: bytes | None = None, rounds: int = ROUNDS) -> DataFrame:
     """``kind, value, new`` for distinct (kind, value): no ``new`` of a kind, genders apart, occurs twice or is a real value of it."""
     from pyspark.sql.functions import pandas_udf
 
+    key = key or session_key(entities.sparkSession)
     group = F.regexp_replace("kind", "^given-[fmn]-", "given-")
 
     @pandas_udf("string")
@@ -246,15 +318,19 @@ def surrogates(entities: DataFrame, key: bytes = KEY, rounds: int = ROUNDS) -> D
     raise ValueError(f"surrogates still collide after {rounds} rounds")
 
 
-def replaced(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
-    """``docs`` with its text's entities replaced, and ``n_replaced``; every other column as it was.
+def replaced(docs: DataFrame, text_col: str = "text", key: bytes | None = None) -> DataFrame:
+    """``docs`` with its text's entities replaced, and ``n_replaced``; every other column as it was, whatever its name.
 
     Null texts stay null with 0 replacements; empty tables stay empty; a column of the name
-    ``n_replaced`` is replaced. Equal entities get equal surrogates in all texts.
+    ``n_replaced`` is replaced. Equal entities get equal surrogates in all texts, and under equal keys
+    in all tables; without a ``key`` the session's holds.
     """
-    mark, column = "__key", F.col(text_col)
-    # whatever the patterns find holds an at sign, two digits, or a title
-    maybe = F.coalesce(column.contains("@") | column.rlike("[0-9][0-9.() -]*[0-9]") | column.rlike(rf"\b(?:{'|'.join(_TITLE)})\b\.? "), F.lit(False))
+    column = F.col(text_col)
+    key = key or session_key(docs.sparkSession)
+    mark, news, put_to = fresh(docs, "key", "new", "put")
+    # whatever the patterns find holds an at sign, two digits, a title, or a known name before a capital
+    known = rf"\b(?=\p{{Lu}}\p{{L}}+ \p{{Lu}})(?:{'|'.join(_KNOWN)}) "
+    maybe = F.coalesce(column.contains("@") | column.rlike("[0-9][0-9.() -]*[0-9]") | column.rlike(rf"\b(?:{'|'.join(_TITLE)})\b\.? ") | column.rlike(known), F.lit(False))
     rest = docs.where(~maybe).withColumn("n_replaced", F.lit(0))
     keyed = docs.where(maybe).withColumn(mark, F.sha2(column.cast("binary"), 256))
     entities = written(keyed.select(mark, text_col).mapInArrow(_found, "key string, kind string, value string").distinct(), "found")
@@ -265,7 +341,7 @@ def replaced(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataF
     resolved = kinds.select(F.when(F.col("of").startswith("given-"), F.concat(F.lit("given-"), one, F.substring("of", 6, 100))).otherwise(F.col("of")).alias("kind"), "value")
     new = surrogates(resolved, key).select(group.alias("of"), "value", "new")
     said = entities.select("key", group.alias("of"), "value").distinct()
-    maps = said.join(new, ["of", "value"]).groupBy("key").agg(F.collect_list(F.struct("of", "value", "new")).alias("__new")).withColumnRenamed("key", mark)
+    maps = said.join(new, ["of", "value"]).groupBy("key").agg(F.collect_list(F.struct("of", "value", "new")).alias(news)).withColumnRenamed("key", mark)
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("text string, n int")
@@ -283,6 +359,6 @@ def replaced(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataF
             out.append(("".join([*parts, t[at:]]), n))
         return pd.DataFrame(out, columns=["text", "n"])
 
-    both = keyed.join(maps, mark, "left").withColumn("__put", put(text_col, "__new"))
-    both = both.withColumn(text_col, F.col("__put.text")).withColumn("n_replaced", F.col("__put.n")).drop("__put", "__new", mark)
+    both = keyed.join(maps, mark, "left").withColumn(put_to, put(text_col, news))
+    both = both.withColumn(text_col, F.col(f"{put_to}.text")).withColumn("n_replaced", F.col(f"{put_to}.n")).drop(put_to, news, mark)
     return both.unionByName(rest)
