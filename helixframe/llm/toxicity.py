@@ -80,6 +80,13 @@ AIMED = Transducer({(0, "Y"): ("Y", 1), (1, "I"): ("J", 1)})
 THREATENED = Transducer({(0, "T"): ("o", 1), (1, "Y"): ("X", 0), (1, "T"): ("o", 1)})
 MACHINE = composed([NEGATED, QUOTED, THREATENED, AIMED], "ITYNRo")
 _START = (0, 0, 0, 0)
+#: Behind a colon only reported speech goes on.
+_RESUMED = {s: (0, s[1], 0, 0) for s, _ in MACHINE}
+
+
+def folded(text: str) -> str:
+    """Lower case, with one kind of apostrophe."""
+    return text.lower().replace("’", "'")
 
 
 @dataclass
@@ -125,7 +132,8 @@ def clauses(grammar: Grammar, text: str) -> Iterator[tuple[int, int, list[tuple[
         token, end = m[0], m.end()
         if token in _ENDS:
             yield start, end, found, words
-            state, start, found, words = _START, end, [], 0
+            state = _RESUMED[state] if token == ":" else _START  # what is reported often stands behind a colon
+            start, found, words = end, [], 0
             continue
         words += 1
         symbol, w = grammar.symbol(token)
@@ -140,7 +148,7 @@ def measures(grammar: Grammar, text: str) -> tuple[float, float, float, float]:
     best: dict[str, float] = {}
     n = words = 0.0
     top = 0.0
-    for _, _, found, size in clauses(grammar, text.lower()):
+    for _, _, found, size in clauses(grammar, folded(text)):
         words += size
         n += sum(f for _, _, f in found)
         top = max(top, sum(w * f for _, w, f in found))
@@ -168,7 +176,7 @@ def calibrated(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int =
 
 
 def _features(text: str) -> set[str]:
-    words = {m for m in TOKEN.findall(text.lower()) if len(m) > 1}
+    words = {m for m in TOKEN.findall(folded(text)) if len(m) > 1}
     return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
 
 
@@ -190,7 +198,7 @@ def held_out(id_col: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, entries: int = ENTRIES) -> Grammar:
     """Learn from at most ``sample`` labelled rows whose id is not held out, in the order of a hash of the id.
 
-    Equal texts count once. An entry must stand out by a likelihood ratio that no chance entry among
+    Equal texts count once, toxic if any of them is; of repeated labels the greatest holds. An entry must stand out by a likelihood ratio that no chance entry among
     as many would reach. Without labels only the given words are left.
     """
     ids = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -231,7 +239,7 @@ def _scores(grammar: Grammar):
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
-                low, score = (text or "").lower(), base
+                low, score = folded(text or ""), base
                 for end, n in automaton.iter(low):  # any entry that begins a word: else no clause can match
                     if end == n - 1 or not low[end - n].isalnum():
                         score = scored(grammar, low)
