@@ -150,15 +150,27 @@ def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         name, _, value = line.partition(":")
         headers[name.strip().lower()] = value.strip()
-    return headers, rest[: int(headers.get("content-length", 0))]
+    return headers, rest[: _number(headers.get("content-length")) or 0]
 
 
 RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
 
 
 def _page(uri: str | None) -> int | None:
+    """The page id in a record id that the writer made; others have none."""
     text = (uri or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(text) if text else None
+    return int(text) if text.lstrip("-").isascii() and text.lstrip("-").isdigit() else None
+
+
+def _payload(headers: dict[str, str], block: bytes) -> bytes:
+    """The block, without the HTTP header where it is a whole HTTP message."""
+    if headers.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+        return block.partition(b"\r\n\r\n")[2]
+    return block
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text and text.isascii() and text.isdigit() else None
 
 
 def _read(payloads: bool):
@@ -171,12 +183,15 @@ def _read(payloads: bool):
                 with _opened(uri) as file:
                     for raw in members(file, start, end):
                         headers, block = parsed(raw)
-                        revisit = headers["warc-type"] == "revisit"
+                        kind = headers.get("warc-type")
+                        revisit = kind == "revisit"
                         if revisit:
-                            size, digest = int(headers["warc-payload-length"]), headers["warc-payload-digest"].removeprefix("sha256:")
+                            told = headers.get("warc-payload-digest")
+                            size, digest = _number(headers.get("warc-payload-length")), told and told.removeprefix("sha256:")
                         else:
+                            block = _payload(headers, block)
                             size, digest = len(block), hashlib.sha256(block).hexdigest()
-                        out.append((_page(headers.get("warc-record-id")), headers.get("warc-target-uri"), size, digest, headers["warc-type"], _page(headers.get("warc-refers-to")), block if payloads and not revisit else None))
+                        out.append((_page(headers.get("warc-record-id")), headers.get("warc-target-uri"), size, digest, kind, _page(headers.get("warc-refers-to")), block if payloads and not revisit else None))
                         held += len(block) if payloads else 0
                         if held > 4 << 20 or len(out) >= 10_000:
                             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
@@ -191,8 +206,10 @@ def read_warc(spark: SparkSession, path: str, size: int = RANGE, payloads: bool
     """A row for each record of the gzip WARC files in ``path``: id, url, payload size and digest, type, target of a revisit, payload.
 
     Size and digest are those of the full payload: computed for responses, from the headers of
-    revisits. Bytes that look like a member but do not decode to a record are passed over. A revisit's
-    payload is null. A folder without files gives no rows.
+    revisits, null where these are missing there. Records of any type and writer are read: a record id
+    that is no page's gives a null id, and of a whole HTTP message the payload stands behind its header.
+    Bytes that look like a member but do not decode to a record are passed over. A revisit's payload is
+    null. A folder without files gives no rows.
     """
     parts = ranges(spark, path, size)
     tasks = spark.createDataFrame([p[:3] for p in parts], "uri string, start bigint, until bigint")
