@@ -305,6 +305,37 @@ def test_names_are_replaced_wherever_a_text_repeats_them(spark):
     assert kim[1] == kim[5] and any(kim[1].startswith(n) for n in pii.GIVEN["latin"]["m"].split())
 
 
+def test_any_script_and_short_names_have_surrogates(spark):
+    texts = ["用户@example.com and _@example.com, 1@example.com", " ".join(f"{c}@example.com" for c in "abcdefghijklmnopqrstuvwxyz"), "Dr Кирилл Жуков, Κύριος Πέτρος"]
+    got = [r.text for r in pii.replaced(frame(spark, texts)).orderBy("doc_id").collect()]
+    found = [t[a:b] for t in got[:2] for a, b in pii._emails(t)]
+    assert len(found) == len(set(found)) == 29 and not any(x in found for t in texts[:2] for x in t.replace(",", "").split())
+    assert all("一" <= c <= "鿿" for c in found[0].split("@")[0][:2])
+
+
+def test_known_given_names_announce_a_person(spark):
+    texts = ["Then Susan Miller came and Miller spoke to Robert Brown-Stone.", "Robert went home", "In Paris Hilton hotels"]
+    got = [r.text for r in pii.replaced(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert not any(n in got[0] for n in ("Susan", "Miller", "Robert", "Brown")) and got[1:] == texts[1:]
+    assert got[0].split()[2] == got[0].split()[5]
+
+
+def test_surrogates_depend_on_the_key_alone(spark):
+    docs = frame(spark, ["write to carl.smith@corp.com or +1 212 555 0100"]).withColumn("__key", F.lit(3)).withColumn("key", F.lit(1))
+    one, two, again = (pii.replaced(docs, key=k) for k in (b"one", b"two", b"one"))
+    assert one.columns == [*docs.columns, "n_replaced"] and one.first().text == again.first().text != two.first().text
+    assert pii.replaced(docs).first().text == pii.replaced(docs).first().text
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+
+    began = time.time()
+    for t in ("a" * 1_000_000, "a@" * 300_000, "a.b-" * 250_000 + "@x.y", "Mr Aa " * 150_000, "1" * 1_000_000, "Mary " * 200_000):
+        pii.detected(t)
+    assert time.time() - began < 30
+
+
 def test_detection_of_neighbouring_numbers():
     kinds = lambda t: [(k, t[a:b]) for a, b, k, _ in pii.detected(t)]
     assert kinds("x 7536784127813050 4845168114407329 y") == [("card", "7536784127813050"), ("card", "4845168114407329")]
@@ -467,6 +498,63 @@ def test_grammar_reads_clauses():
     assert s("vequabc") > 0.9 and s("xvequ") < 0.1 and s("no. an idiot") == s("an idiot")
 
 
+def test_reported_speech_goes_on_behind_a_colon():
+    g = toxicity.lexicon(-3.0, {})
+    s = lambda t: toxicity.scored(g, t)
+    assert s("she wrote: you are trash") == s("she wrote you are trash") < s("you are trash") == s("note: you are trash") == s("she left. you are trash")
+    assert s("you aren’t trash") == s("you aren't trash") < s("you are trash")
+
+
+def brute_score(grammar, text):
+    """The grammar read token by token, by rules of its own."""
+    import re
+
+    best, n, words, top = {}, 0.0, 0, 0.0
+    quoted = False
+    for part in re.split(r"([.!?;:\n])", text.lower().replace("’", "'")):
+        if part in list(".!?;\n"):
+            quoted = False
+        if part in list(".!?;:\n"):
+            continue
+        negated = threat = aimed = 0
+        clause = 0.0
+        for token in re.findall(r"[^\W_]+(?:'[^\W\d_]+)?", part):
+            words += 1
+            kind, w = grammar.symbol(token)
+            factor = 0.0
+            if kind == "N":
+                negated = 3
+            else:
+                if kind == "I":
+                    weak = negated or quoted
+                    factor = 0.6 if weak else 1.25 if aimed else 1.0
+                if kind == "T" and not negated and not quoted:
+                    threat = 1
+                if kind == "Y" and threat:
+                    factor, threat = 1.0, 0
+                elif kind == "Y":
+                    aimed = 1
+                negated = max(0, negated - 1)
+            if kind == "R":
+                quoted = True
+            if factor:
+                x = (w or toxicity.GIVEN) * factor
+                best[token] = max(best.get(token, 0.0), x)
+                n, clause = n + factor, clause + x
+        top = max(top, clause)
+    return grammar.score((sum(best.values()), np.log1p(n), np.log1p(100 * n / max(words, 1)), top))
+
+
+def test_scores_equal_brute_force(spark):
+    rnd = random.Random(8)
+    g = toxicity.lexicon(-2.0, {"vequ*": 4.0, "nasty": 2.0})
+    g.effects = (-2.0, 0.5, 0.3, 0.2, 0.1)
+    words = [*"idiot trash kill hurt you them not never said wrote nasty vequabc house tree".split(), ".", ":", ";", "\n", "aren’t"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(0, 25))) for _ in range(400)]
+    got = {r.doc_id: r.score for r in toxicity.score(frame(spark, texts), g).collect()}
+    assert all(abs(got[i] - brute_score(g, t)) < 1e-9 for i, t in enumerate(texts))
+
+
 def test_labels_teach_words_and_held_out_texts_are_scored(spark):
     rnd = random.Random(6)
     words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
@@ -499,6 +587,26 @@ def test_archives_round_trip_in_any_ranges(spark, tmp_path):
     assert raw.count(b"WARC/1.1\r\n") == len(pages)
 
 
+def test_archives_of_others_are_read(spark, tmp_path):
+    import gzip
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hello</p>"
+    records = [
+        (b"warcinfo", b"Content-Type: application/warc-fields\r\n", b"software: other"),
+        (b"response", b"Content-Type: application/http; msgtype=response\r\nWARC-Target-URI: http://x\r\n", http),
+        (b"revisit", b"WARC-Payload-Digest: sha1:ABC\r\nWARC-Refers-To: <urn:uuid:1>\r\nContent-Type: application/http\r\n", b"HTTP/1.1 200 OK\r\n\r\n"),
+    ]
+    (tmp_path / "w").mkdir()
+    with open(tmp_path / "w" / "a.warc.gz", "wb") as f:
+        for kind, more, block in records:
+            f.write(gzip.compress(b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: <urn:uuid:" + kind + b">\r\n" + more + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"))
+    got = {r.record_type: r for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert set(got) == {"warcinfo", "response", "revisit"} and all(r.page_id is None and r.refers_to is None for r in got.values())
+    assert bytes(got["response"].payload) == b"<p>hello</p>" and got["response"].payload_digest == hashlib.sha256(b"<p>hello</p>").hexdigest() and got["response"].url == "http://x"
+    assert (got["revisit"].payload_bytes, got["revisit"].payload_digest, got["revisit"].payload) == (None, "sha1:ABC", None)
+    assert warc.archived(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
 # 10: decontamination
 def test_reparameterised_items_are_found_and_inconsistent_ones_not(spark):
     items = [(1, "Anna buys 12 apples and Bob buys 7 pears at 3 dollars each how much do they pay"), (2, "What is the capital of the large old country in the north"), (3, "one two three four five"), (4, None), (None, "x y z w v u")]
