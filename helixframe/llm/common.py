@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -16,10 +17,13 @@ from pyspark.sql import functions as F
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (tests, a single machine) a local temporary folder stands in.
+    Only where that setting is absent and Spark runs in one process (tests, a single machine) a local
+    temporary folder stands in; on a cluster its absence is an error.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("helixframe.scratch.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="helixframe-")
         spark.conf.set("helixframe.scratch.dir", root)
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import computed, written
+from helixframe.llm.common import computed, fresh, written
 
 #: Words of a window, the share of an item's windows that makes a text contaminated, and the fewest words of an item.
 WINDOW, SHARE, FEWEST = 8, 0.8, 4
@@ -197,9 +197,10 @@ def _held(aligned: DataFrame, share: float) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark item; columns and other rows as they were."""
-    held = matches(docs, benchmark, **options).select(F.col("text_hash").alias("__hash")).distinct()
-    return docs.withColumn("__hash", F.xxhash64(options.get("text_col", "text"))).join(held, "__hash", "left_anti").drop("__hash")
+    """``docs`` without the rows whose text holds a benchmark item; columns, whatever their names, and other rows as they were."""
+    (mark,) = fresh(docs, "hash")
+    held = matches(docs, benchmark, **options).select(F.col("text_hash").alias(mark)).distinct()
+    return docs.withColumn(mark, F.xxhash64(options.get("text_col", "text"))).join(held, mark, "left_anti").drop(mark)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import written
+from helixframe.llm.common import lean, written
 
 THRESHOLD = 400
 #: Bytes of the first digit, windows of a run, bytes of a block.
@@ -119,6 +119,7 @@ RUNS = "key bigint, core bigint, full bigint, block string, first int, last int,
 
 
 def _blocks(block_bytes: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n, ids, data, held = TaskContext.get().partitionId(), 0, [], [], 0
         packer = zstandard.ZstdCompressor(3)
@@ -152,6 +153,7 @@ def _signed(a: np.ndarray) -> pa.Array:
 
 
 def _first_digit(threshold: int, digit: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
