@@ -8,12 +8,13 @@ copies of a text do not count against each other. Each text takes one weighted s
 linked if their weighted Jaccard similarity, computed in full, reaches 0.8.
 
 Of a bucket no pairs are listed. Its members are compared with one leader, the member whose own buckets
-are largest, and linked texts become components. Members that are not linked to their leader are
-joined exactly instead, each once and not bucket by bucket: two texts of that similarity share a
-shingle among the rarest of both (a prefix that leaves less weight than their overlap needs), at places
-behind which enough weight is left, and their total weights are alike. Texts that are linked to their
-leader take part only where the triangle inequality lets another member of their bucket come near.
-Equal texts are one text throughout.
+are largest, and linked texts become components. Members outside of the leader's component are then
+compared with a few drawn members, those that share most samples, so that components that touch become
+one early. What is left is joined exactly, each text once and not bucket by bucket: two texts of that
+similarity share a shingle among the rarest of both (a prefix that leaves less weight than their overlap
+needs), at places behind which enough weight is left, and their total weights are alike. Texts that are
+linked to their leader take part only where the triangle inequality lets another member of their bucket
+come near. Equal texts are one text throughout.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ BANDS, ROWS = 10, 2
 BITS, PARTS = 18, 16
 #: Characters and texts that a task takes at a time (a longer text alone).
 CHARS, TEXTS = 400_000, 4096
-#: Shares of a leader's members, and the ratio between classes of total weight.
-SALTS, STEP = 64, 1.05
+#: Shares of a leader's members, members that are drawn of a bucket, those of them that a member meets, and the ratio between classes of total weight.
+SALTS, DRAWN, MET, STEP = 64, 48, 6, 1.05
 
 #: Characters that are neither ASCII nor part of a word.
 NO_WORD = re.compile(r"[^\w\x00-\x7f]+")
@@ -273,7 +274,7 @@ def _weights(table: np.ndarray, shingles: np.ndarray, counts: np.ndarray) -> np.
 
 
 def _signatures(table, bands: int, rows: int, words: int, changed: bool = False):
-    """Total weight and buckets of each text with words; with ``changed`` only of texts that hold a weight below 1."""
+    """Total weight, samples and buckets of each text with words; with ``changed`` only of texts that hold a weight below 1."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +299,8 @@ def _signatures(table, bands: int, rows: int, words: int, changed: bool = False)
                 buckets = _mixed(buckets * _FACTORS[2] + s[:, i::rows])
             buckets = _mixed(buckets + np.arange(1, bands + 1, dtype=_U) * _FACTORS[3])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), pa.array(np.ascontiguousarray(buckets).reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in some.tolist()], pa.string()), pa.array(np.add.reduceat(weights.astype(float), starts)), lists], names=["key", "weight", "buckets"])
+            short = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands * rows), pa.array(np.ascontiguousarray(s >> _U(32)).astype(np.uint32).reshape(-1).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in some.tolist()], pa.string()), pa.array(np.add.reduceat(weights.astype(float), starts)), short, lists], names=["key", "weight", "samples", "buckets"])
 
     return run
 
@@ -399,7 +401,7 @@ def _weighed(keyed: DataFrame, counts: np.ndarray, words: int, bands: int, rows:
     so that the copies of a text count about once.
     """
     spark, bits = keyed.sparkSession, len(counts).bit_length() - 1
-    schema = "key string, weight double, buckets array<bigint>"
+    schema = "key string, weight double, samples array<int>, buckets array<bigint>"
     broadcast = spark.sparkContext.broadcast
     ones = broadcast(np.ones(1 << bits, np.float32))
     signed = written(keyed.mapInArrow(_signatures(ones, bands, rows, words), schema).dropDuplicates(["key"]), "signatures")
@@ -471,8 +473,27 @@ def links(docs: DataFrame, text_col: str = "text", similar: float = SIMILARITY,
     told = members.join(near.select(F.col("a").alias("leader"), F.col("b").alias("key"), "similarity"), ["leader", "key"], "left").join(rooted, "key", "left").withColumn("root", F.coalesce("root", "key"))
     told = told.join(parts.select(F.col("node").alias("leader"), F.col("root").alias("lead")), "leader", "left").withColumn("lead", F.coalesce("lead", "leader"))
     led = F.col("key") == F.col("leader")
-    told = written(told.select("bucket", "key", "root", led.alias("leads"), (F.col("root") != F.col("lead")).alias("outside"), "similarity"), "placed")
-    torn = told.where("outside").groupBy("bucket").agg(F.max("similarity").alias("nearest"))
+    told = written(told.select("bucket", "key", "root", "lead", led.alias("leads"), "similarity"), "placed")
+    outside = F.col("root") != F.col("lead")
+
+    # components of a bucket often touch: those outside are compared with drawn members that are most alike
+    sizes = told.groupBy("bucket").agg(F.count("*").alias("n"), F.max(outside).alias("torn")).where("torn")
+    drawn = F.pmod(F.xxhash64("bucket", "key"), F.col("n")) < DRAWN
+    some = told.join(sizes, "bucket").select("bucket", "key", "root", outside.alias("out"), drawn.alias("drawn")).where("out or drawn")
+    some = some.join(signed.select("key", "samples"), "key")
+    known = some.where("drawn").groupBy("bucket").agg(F.collect_list(F.struct("key", "root", "samples")).alias("drawn"))  # about DRAWN
+    alike = lambda d: F.aggregate(F.zip_with("samples", d["samples"], lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    other = F.filter("drawn", lambda d: d["root"] != F.col("root"))
+    met = some.where("out").drop("drawn").join(known, "bucket").select("key", F.explode(F.slice(F.sort_array(F.transform(other, lambda d: F.struct(alike(d).alias("n"), d["key"].alias("key"))), asc=False), 1, MET)).alias("d"))
+    met = met.where(F.col("d.n") >= bands * rows * similar * 0.8).select(F.greatest("key", "d.key").alias("a"), F.least("key", "d.key").alias("b")).distinct()
+    touching = judged(met, similar)
+    where = told.select("key", "root").distinct()
+    between = touching.join(where.select(F.col("key").alias("a"), F.col("root").alias("x")), "a").join(where.select(F.col("key").alias("b"), F.col("root").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    moved = connected(between)
+    told = told.join(moved.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
+    told = written(told.join(moved.select(F.col("node").alias("lead"), F.col("root").alias("new")), "lead", "left").withColumn("lead", F.coalesce("new", "lead")).drop("new"), "placed")
+
+    torn = told.where(outside).groupBy("bucket").agg(F.max("similarity").alias("nearest"))
     direct = F.coalesce(F.col("similarity") >= similar, F.lit(False))
     # a member linked to the leader is near another only if that one is at 2 * similar - 1 to the leader
     asked = told.join(torn, "bucket").where(~F.col("leads") & (~direct | F.col("nearest").isNotNull())).groupBy("key", "root").agg((~F.min(direct)).alias("apart"))
@@ -486,9 +507,10 @@ def links(docs: DataFrame, text_col: str = "text", similar: float = SIMILARITY,
     second = judged(pairs, similar)
     for done in (*scratch, told, asked):
         released(spark, done)
-    if second.isEmpty():
+    more = touching.unionByName(second)
+    if more.isEmpty():
         return first, parts
-    every = first.unionByName(second)
+    every = first.unionByName(more)
     return every, connected(every)
 
 
