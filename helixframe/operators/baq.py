@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.functions import cigar as cigar_functions
+
 #: Fixed values of the model: gap opening and extension, band, emission of a wrong base and of an inserted base.
 OPEN, EXTEND, BAND, WRONG, INSERTED = 0.001, 0.1, 7, 1 / 3, 0.25
 MATCH, INSERT = 0, 1
@@ -132,7 +134,11 @@ def realigned(records: DataFrame, contigs: DataFrame, extend: bool = False) -> D
         return pd.DataFrame(out, columns=["qual", "bq"])
 
     names = contigs.select(F.col("name").alias("__name"), F.col("seq").alias("__contig"))
-    both = records.join(names, records["rname"] == names["__name"], "left").withColumn("__new", run("flag", "seq", "qual", "cigar", "pos", "__contig"))
+    # only the reference around a record goes to Python: as much beside it as it covers itself, which is more than any band
+    room = F.coalesce(cigar_functions.reference_length(F.col("cigar")), F.lit(0)) + F.length("seq") + 200
+    from_ = F.greatest(F.col("pos") - room, F.lit(0))
+    here = F.substring("__contig", (from_ + 1).cast("int"), (F.col("pos") - from_ + 2 * room).cast("int"))
+    both = records.join(names, records["rname"] == names["__name"], "left").withColumn("__from", from_).withColumn("__new", run("flag", "seq", "qual", "cigar", F.col("pos") - F.col("__from"), here)).drop("__from")
     return both.withColumn("qual", F.col("__new.qual")).withColumn("bq", F.col("__new.bq")).drop("__new", "__name", "__contig")
 
 

@@ -40,22 +40,39 @@ def overlap_semi(left: DataFrame, right: DataFrame, width: int = BIN, anti: bool
     return keyed.join(hit, "__row", "left_anti" if anti else "left_semi").drop("__row")
 
 
-def merged(rows: DataFrame, chrom: str = "chrom", beg: str = "beg", end: str = "end") -> DataFrame:
-    """The union of the intervals of each chromosome, touching ones joined."""
-    w = Window.partitionBy(chrom).orderBy(beg, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    starts = rows.select(chrom, beg, end).withColumn("__new", F.when(reach.isNull() | (F.col(beg) > reach), 1).otherwise(0))
-    islands = starts.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(chrom, "__island").agg(F.min(beg).alias(beg), F.max(end).alias(end)).drop("__island")
-
-
-def coverage(rows: DataFrame, chrom: str = "chrom", beg: str = "beg", end: str = "end") -> DataFrame:
-    """``chrom, beg, end, depth``: maximal segments of equal positive depth, by a running sum over ends."""
+def _before(rows: DataFrame, chrom: str, of: Column, name: str) -> DataFrame:
+    """``chrom, __bin, name``: ``of`` the aggregated bins of a chromosome, gathered over all bins before; only bins meet in a task."""
+    bins = Window.partitionBy(chrom).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select(chrom, "__bin", of.over(bins).alias(name))
+
+
+def merged(rows: DataFrame, chrom: str = "chrom", beg: str = "beg", end: str = "end", width: int = BIN) -> DataFrame:
+    """The union of the intervals of each chromosome, touching ones joined.
+
+    Islands are found bin by bin; what reaches into a bin from those before is the running maximum
+    over the bins, and islands that go on in a later bin carry the place where they began.
+    """
+    binned = rows.select(chrom, beg, end).withColumn("__bin", F.floor(F.col(beg) / width))
+    reaches = _before(binned.groupBy(chrom, "__bin").agg(F.max(end).alias("__end")), chrom, F.max("__end"), "__reach")
+    w = Window.partitionBy(chrom, "__bin").orderBy(beg, end)
+    reach = F.greatest("__reach", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    starts = binned.join(reaches, [chrom, "__bin"]).withColumn("__all", reach).withColumn("__new", F.when(F.col("__all").isNull() | (F.col(beg) > F.col("__all")), F.col(beg)))
+    began = _before(starts.groupBy(chrom, "__bin").agg(F.max("__new").alias("__last")), chrom, F.max("__last"), "__began")
+    islands = starts.join(began, [chrom, "__bin"]).withColumn("__island", F.coalesce(F.max("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)), "__began"))
+    return islands.groupBy(chrom, "__island").agg(F.max(end).alias(end)).select(chrom, F.col("__island").alias(beg), end)
+
+
+def coverage(rows: DataFrame, chrom: str = "chrom", beg: str = "beg", end: str = "end", width: int = BIN) -> DataFrame:
+    """``chrom, beg, end, depth``: maximal segments of equal positive depth, by a running sum over ends, bin by bin with what the bins before leave open."""
     steps = rows.select(chrom, F.col(beg).alias("at"), F.lit(1).alias("d")).unionByName(rows.select(chrom, F.col(end).alias("at"), F.lit(-1).alias("d")))
-    changes = steps.groupBy(chrom, "at").agg(F.sum("d").alias("d")).where("d <> 0")
-    w = Window.partitionBy(chrom).orderBy("at")
-    depth = changes.withColumn("depth", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("until", F.lead("at").over(w))
-    return depth.where("depth > 0").select(chrom, F.col("at").alias(beg), F.col("until").alias(end), "depth")
+    changes = steps.groupBy(chrom, "at").agg(F.sum("d").alias("d")).where("d <> 0").withColumn("__bin", F.floor(F.col("at") / width))
+    bins = changes.groupBy(chrom, "__bin").agg(F.sum("d").alias("__sum"), F.min("at").alias("__first"))
+    over = Window.partitionBy(chrom).orderBy("__bin")
+    carried = bins.select(chrom, "__bin", F.coalesce(F.sum("__sum").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__open"), F.lead("__first").over(over).alias("__next"))
+    w = Window.partitionBy(chrom, "__bin").orderBy("at")
+    depth = F.col("__open") + F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    found = changes.join(carried, [chrom, "__bin"]).withColumn("depth", depth).withColumn("until", F.coalesce(F.lead("at").over(w), F.col("__next")))
+    return found.where("depth > 0").select(chrom, F.col("at").alias(beg), F.col("until").alias(end), "depth")
 
 
 def band_join(left: DataFrame, right: DataFrame, key: list[str], at: tuple[str, str], low: int, high: int) -> DataFrame:

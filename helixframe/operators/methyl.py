@@ -33,12 +33,13 @@ def counts(called: DataFrame, positions: DataFrame) -> DataFrame:
     bases that differ from the reference.
     """
     sites = positions.where("context < 3").select("chrom_id", "pos", "context", F.col("base").alias("ref"))
-    both = called.join(sites, ["chrom_id", "pos"])
+    few = called.groupBy("chrom_id", "pos", "strand", F.col("base")).agg(F.count("*").alias("n"))  # at most ten rows a place meet the sites
+    both = few.join(sites, ["chrom_id", "pos"])
     own = ((F.col("ref") == "C") & (F.col("strand") == 0)) | ((F.col("ref") == "G") & (F.col("strand") == 1))
     same = F.col("base") == F.col("ref")
     turned = F.col("base") == F.when(F.col("ref") == "C", "T").otherwise("A")
-    count = lambda c: F.count(F.when(c, 1))
-    return both.groupBy("chrom_id", "pos", "context").agg(count(own & same).alias("methylated"), count(own & (same | turned)).alias("total"), count(own & ~same & ~turned).alias("variant"), count(~own & ~same).alias("opposite"), F.count("*").alias("depth"))
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    return both.groupBy("chrom_id", "pos", "context").agg(count(own & same).alias("methylated"), count(own & (same | turned)).alias("total"), count(own & ~same & ~turned).alias("variant"), count(~own & ~same).alias("opposite"), F.sum("n").alias("depth"))
 
 
 def without_variants(counted: DataFrame, max_fraction: float = 0.0, min_depth: int = 65536) -> DataFrame:

@@ -139,7 +139,12 @@ def map_stats(spark, sf_dir):
     return rank.statistics(synth.reads(spark, sf_dir), _best(spark, sf_dir), ["name"], "err", 100)
 
 
-@query(None)
+_REPORT = f"""{_HITS}, one AS (SELECT name, max(n_best) AS n_best, min(err) AS err FROM top GROUP BY name),
+s AS (SELECT (SELECT count(*) FROM reads) AS n, count(*) FILTER (n_best = 1) AS u, count(*) FILTER (n_best > 1) AS a, count(*) AS m, sum(err) FILTER (n_best = 1) AS e FROM one)
+SELECT unnest(['reads: ' || n, 'unique: ' || u || printf(' (%.2f%%)', 100.0 * u / n), 'ambiguous: ' || a || printf(' (%.2f%%)', 100.0 * a / n), 'unmapped: ' || (n - m) || printf(' (%.2f%%)', 100.0 * (n - m) / n), 'error rate: ' || printf('%.6f', e::DOUBLE / (u * 100))]) AS line FROM s"""
+
+
+@query(_REPORT)
 def map_stats_report(spark, sf_dir):
     """The same as the report's lines."""
     return rank.statistics_report(map_stats(spark, sf_dir))
@@ -272,12 +277,41 @@ def mate_name_prefix(spark, sf_dir):
     return synth.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), dna.mate_name(one, two).alias("name"), dna.read_name(F.concat(F.lit("@run"), (F.col("o_orderkey") % 7).cast("string"), F.lit(" lane/2"))).alias("bare"))
 
 
-@query(None)
+_SINGLE = f"{_TRUE} SELECT name, chrom_id, 0 AS strand, true_site::BIGINT AS site, (true_site + 100)::BIGINT AS \"end\", len([1 for i in range(1, 101) if NOT (seq[i] = ref[i] OR (seq[i] = 'T' AND ref[i] = 'C'))])::INT AS err, 1::BIGINT AS n_best FROM placed"
+
+
+@query(_SINGLE)
 def map_single_reads(spark, sf_dir):
     """Reads mapped end to end: seeds, votes, banded verification, best hits."""
     return align.map_single(synth.reads(spark, sf_dir).select("name", "seq"), synth.contigs(spark, sf_dir))
 
 
+_MAPPED = f"""{_TRUE}, one AS (SELECT name, chrom_id, true_site, seq, ref, [i for i in range(1, 101) if seq[i] <> ref[i]] AS off FROM placed)
+SELECT name AS qname, 0 AS flag, 'part' || chrom_id AS rname, true_site AS pos, '100M' AS cigar, seq, len(off)::INT AS nm,
+list_reduce(list_prepend('', [(i - (CASE WHEN k = 1 THEN 0 ELSE off[k - 1] END) - 1)::VARCHAR || ref[i] for i, k in off]), lambda a, b: a || b) || (100 - coalesce(off[-1], 0))::VARCHAR AS md FROM one"""
+
+
+@query(_MAPPED)
+def map_single_records(spark, sf_dir):
+    """The same reads as alignment records, with edit distance and mismatch string."""
+    records = align.mapped(synth.reads(spark, sf_dir).select("name", "seq"), synth.contigs(spark, sf_dir))
+    return records.select("qname", "flag", "rname", "pos", "cigar", "seq", F.col("tags")["NM"]["value"].cast("int").alias("nm"), F.col("tags")["MD"]["value"].alias("md"))
+
+
+@query("SELECT o_orderkey AS pair_id, o_orderkey % 200 + (SELECT min(p_partkey) FROM part) AS chrom_id, (o_orderkey % 700)::BIGINT AS start1, (o_orderkey % 700 + 20 + o_orderkey % 150)::BIGINT AS start2, 0 AS strand1, 1 AS strand2, (120 + o_orderkey % 150)::BIGINT AS tlen, 0 AS errors, 1::BIGINT AS n_best FROM orders")
+def map_pairs_reads(spark, sf_dir):
+    """Converted mates of each order, cut from a contig, mapped as pairs."""
+    contigs = synth.contigs(spark, sf_dir)
+    first = contigs.agg(F.min("chrom_id").alias("first"))
+    k = F.col("o_orderkey")
+    orders = synth.table(spark, sf_dir, "orders").crossJoin(F.broadcast(first)).select(k.alias("name"), (k % 200 + F.col("first")).alias("chrom_id"), (k % 700).alias("s"), (120 + k % 150).alias("t"))  # one row
+    placed = orders.join(contigs.select("chrom_id", F.col("seq").alias("contig")), "chrom_id")
+    cut = lambda at: dna.convert(F.substring("contig", (at + 1).cast("int"), F.lit(100)))
+    one = placed.select("name", cut(F.col("s")).alias("seq"))
+    two = placed.select("name", dna.reverse_complement(cut(F.col("s") + F.col("t") - 100)).alias("seq"))
+    return align.map_pairs(one, two, contigs).select("pair_id", "chrom_id", "start1", "start2", "strand1", "strand2", "tlen", "errors", "n_best")
+
+
 @query(None)
 def banded_distance(spark, sf_dir):
     """The banded distance and CIGAR of each read in the window around its true place."""
