@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import cigar, dna, stats, text, variant
-from helixframe.operators import align, baq, intervals, pileup, rank, seed, suffix, synth, variants, verify
+from helixframe.operators import align, baq, context, intervals, pileup, rank, seed, suffix, synth, variants, verify
 from helixframe.plans import catalogue
 from helixframe.sources import formats, readers, writers
 
@@ -273,3 +273,83 @@ def test_queries_equal_their_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_other_queries_run(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
+
+
+def test_pieces_of_contigs_equal_the_whole(spark):
+    rnd = random.Random(31)
+    seqs = ["".join(rnd.choice("ACGTN" if i else "ACGT") for _ in range(n)) for i, n in enumerate((5000, 1023, 1024, 1, 0, 2049))]
+    contigs = spark.createDataFrame(list(enumerate(seqs)), "chrom_id int, seq string")
+    turn = str.maketrans("ACGT", "TGCA")
+    for size in (64, 1024):
+        got = {(r.chrom_id, r.pos): (r.base, r.context) for r in context.positions(contigs, size).collect()}
+        want = {}
+        for c, s in enumerate(seqs):
+            for i, b in enumerate(s):
+                one, two = (s[i + 1 : i + 2], s[i + 2 : i + 3]) if b == "C" else (s[i - 1 : i] if i else "", s[i - 2 : i - 1] if i > 1 else "")
+                mate = "G" if b == "C" else "C"
+                want[c, i] = (b, 3 if b not in "CG" else 0 if one == mate else 1 if two == mate else 2)
+        assert got == want
+        for r in context.strand_chunks(contigs, size, 30).collect():
+            whole = seqs[r.chrom_id].translate(turn)[::-1] if r.strand else seqs[r.chrom_id]
+            assert r.seq == whole[r.chunk_start : r.chunk_start + size + 30] and r.length == len(whole)
+    kmers = Counter((r.chrom_id, r.site, r.kmer) for r in seed.index(contigs, 8, 64).collect())
+    assert kmers == Counter((c, i, s[i : i + 8]) for c, s in enumerate(seqs) for i in range(len(s) - 7) if "N" not in s[i : i + 8])
+
+
+def test_reads_with_unknown_bases_and_gaps_become_records(spark, tmp_path):
+    rnd = random.Random(32)
+    contig = "".join(rnd.choice("ACGT") for _ in range(3000))
+    contigs = spark.createDataFrame([(1, "c", contig), (2, "d", contig[1000:1500])], "chrom_id int, name string, seq string")
+    turn = str.maketrans("ACGT", "TGCA")
+    with_n = contig[200:250] + "N" + contig[251:300]
+    gap = contig[500:550] + contig[552:602]
+    more = contig[700:750] + "GG" + contig[750:798]
+    rows = [("n", with_n), ("gap", gap), ("more", more), ("back", contig[2000:2100].translate(turn)[::-1]), ("two", contig[1100:1200]), ("none", "ACAC" * 25), ("short", "ACGT")]
+    reads = spark.createDataFrame([(n, s, "I" * len(s)) for n, s in rows], "name string, seq string, qual string")
+    got = {r.qname: r for r in align.mapped(reads, contigs).collect()}
+    place = {n: (r.flag, r.rname, r.pos, r.cigar) for n, r in got.items()}
+    assert place["n"] == (0, "c", 200, "100M") and got["n"].tags["NM"].value == "1" and got["n"].tags["MD"].value == f"50{contig[250]}49"
+    assert place["gap"][:3] == (0, "c", 500) and got["gap"].cigar.count("2D") == 1 and got["gap"].tags["NM"].value == "2"
+    assert place["more"][:3] == (0, "c", 700) and got["more"].cigar.count("2I") == 1
+    assert place["back"] == (16, "c", 2000, "100M") and got["back"].seq == contig[2000:2100] and got["back"].tags["MD"].value == "100"
+    assert place["two"][:3] == (0, "c", 1100) and got["two"].mapq == 0 and got["two"].tags["XB"].value == "2"
+    assert got["n"].mapq > 0 and got["back"].mapq == 42 >= got["n"].mapq
+    assert place["none"] == (4, "*", -1, "*") and place["short"][0] == 4
+    writers.write_sam(align.mapped(reads, contigs), str(tmp_path / "out"), [("c", 3000), ("d", 500)])
+    back = {r.qname: (r.flag, r.rname, r.pos, r.cigar) for r in readers.sam(spark, str(tmp_path / "out")).collect()}
+    assert back == place
+
+
+def test_pairs_of_other_protocols(spark):
+    rnd = random.Random(33)
+    contig = "".join(rnd.choice("ACGT") for _ in range(2000))
+    contigs = spark.createDataFrame([(1, contig)], "chrom_id int, seq string")
+    turn = str.maketrans("ACGT", "TGCA")
+    one = spark.createDataFrame([("p", contig[300:400].replace("C", "T"))], "name string, seq string")
+    two = spark.createDataFrame([("p", contig[420:520].replace("C", "T").translate(turn)[::-1])], "name string, seq string")
+    want = [("p", 300, 420, 0, 1, 220, 0, 1)]
+    pick = lambda df: [(r.pair_id, r.start1, r.start2, r.strand1, r.strand2, r.tlen, r.errors, r.n_best) for r in df.collect()]
+    assert pick(align.map_pairs(one, two, contigs)) == want == pick(align.map_pairs(two, one, contigs, pbat=True, sensitive=True))
+    assert pick(align.map_pairs(one, two, contigs, high=200)) == []
+    worn = spark.createDataFrame([("w", "".join(c if i % 19 else {"A": "G", "C": "A", "G": "A", "T": "G"}[c] for i, c in enumerate(contig[900:1000])))], "name string, seq string")
+    assert align.map_single(worn, contigs).count() == 0 and align.map_single(worn, contigs, k=16, sensitive=True).first().site == 900
+
+
+@pytest.mark.parametrize("width", [1, 16, 1 << 14])
+def test_islands_and_depths_in_bins_of_any_width(spark, width):
+    rnd = random.Random(width)
+    rows = [(rnd.choice("ab"), b := rnd.randrange(-50, 900), b + rnd.choice((0, 1, 5, 200)), i) for i in range(70)]
+    df = spark.createDataFrame(rows, "chrom string, beg long, end long, id int")
+    want = []
+    for c in "ab":
+        for b, e in sorted((b, e) for x, b, e, _ in rows if x == c):
+            if want and want[-1][0] == c and b <= want[-1][2]:
+                want[-1][2] = max(want[-1][2], e)
+            else:
+                want.append([c, b, e])
+    assert sorted([r.chrom, r.beg, r.end] for r in intervals.merged(df, width=width).collect()) == sorted(want)
+    got = sorted((r.chrom, r.beg, r.end, r.depth) for r in intervals.coverage(df, width=width).collect())
+    for c, b, e, d in got:
+        assert {sum(x[0] == c and x[1] <= p < x[2] for x in rows) for p in (b, e - 1)} == {d}
+    covered = {(c, p) for c, b, e, _ in got for p in range(b, e)}
+    assert covered == {(c, p) for c, b, e, _ in rows for p in range(b, e)} and all(x[:1] != y[:1] or x[2] < y[1] or x[3] != y[3] for x, y in zip(got, got[1:]))
