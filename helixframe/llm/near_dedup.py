@@ -41,7 +41,7 @@ BITS, PARTS = 18, 16
 #: Characters and texts that a task takes at a time (a longer text alone).
 CHARS, TEXTS = 400_000, 4096
 #: Shares of a leader's members, members that are drawn of a bucket, those of them that a member meets, and the ratio between classes of total weight.
-SALTS, DRAWN, MET, STEP = 64, 48, 6, 1.05
+SALTS, DRAWN, MET, STEP = 64, 48, 6, 1.1
 
 #: Characters that are neither ASCII nor part of a word.
 NO_WORD = re.compile(r"[^\w\x00-\x7f]+")
@@ -344,41 +344,41 @@ def _class_of(weight: float) -> int:
     return math.floor(math.log(weight) / math.log(STEP))
 
 
-_PREFIX = "token bigint, class int, asks boolean, side int, key string, root string, w double, left double"
+_PREFIX = "token bigint, class int, side int, id bigint, root bigint, w double, left double"
 
 
-def _prefixes(table, order, words: int, t: float):
-    """Rows of a text's rarest shingles: to be found by texts of at least its weight, and to ask with for texts of at most its weight.
+def _prefixes(table, order, words: int, t: float, asks: bool):
+    """Rows of a text's rarest shingles: to ask with for texts of at most its weight, or to be found by texts of at least it.
 
     ``left`` is the weight of the shingle and all behind it. Side 0 holds pairs that ask for texts
-    that are not linked to their leader, side 1 the others' questions to these.
+    that are linked to their leader or not, side 1 the linked ones' questions for the others.
     """
     slack = 1e-9
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, bits = Shingler(words), len(order.value).bit_length() - 1
-        for held in _portions(_rows(batches, once=True)):
+        for held in _portions(_rows(batches)):
             h, counts, bounds = shingles.batch([r[-1] for r in held])
             weights = _weights(table.value, h, counts).astype(float)
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(7)]
             for (key, root, apart, _), a, b in zip(held, bounds[:-1].tolist(), bounds[1:].tolist()):
                 by = np.lexsort((h[a:b], order.value[(h[a:b] >> _U(64 - bits)).astype(np.int64)]))
                 own = weights[a:b][by]
                 w = own.sum()
                 left = w - np.cumsum(own) + own
-                for token, rest in zip(h[a:b][by][left >= t * w * (1 - slack)].view(np.int64).tolist(), left.tolist()):
-                    if rest >= 2 * t / (1 + t) * w * (1 - slack):
-                        for side in (0, 1) if apart else (0,):
-                            for x, v in zip(out, (token, _class_of(w), False, side, key, root, w, rest)):
-                                x.append(v)
-                    most = min(w, rest * (1 + t) / t - w) * (1 + slack)
-                    if most > 0:
-                        for c in range(_class_of(t * w * (1 - slack)), _class_of(most) + 1):
-                            for x, v in zip(out, (token, c, True, 0 if apart else 1, key, root, w, rest)):
-                                x.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["token", "class", "asks", "side", "key", "root", "w", "left"])
+                enough = left >= (t if asks else 2 * t / (1 + t)) * w * (1 - slack)
+                for token, rest in zip(h[a:b][by][enough].view(np.int64).tolist(), left[enough].tolist()):
+                    if asks:
+                        most = min(w, rest * (1 + t) / t - w) * (1 + slack)
+                        rows = [(c, 0 if apart else 1) for c in range(_class_of(t * w * (1 - slack)), _class_of(most) + 1)] if most > 0 else []
+                    else:
+                        rows = [(_class_of(w), side) for side in ((0, 1) if apart else (0,))]
+                    for c, side in rows:
+                        for x, v in zip(out, (token, c, side, key, root, w, rest)):
+                            x.append(v)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["token", "class", "side", "id", "root", "w", "left"])
 
     return run
 
@@ -497,13 +497,13 @@ def links(docs: DataFrame, text_col: str = "text", similar: float = SIMILARITY,
     direct = F.coalesce(F.col("similarity") >= similar, F.lit(False))
     # a member linked to the leader is near another only if that one is at 2 * similar - 1 to the leader
     asked = told.join(torn, "bucket").where(~F.col("leads") & (~direct | F.col("nearest").isNotNull())).groupBy("key", "root").agg((~F.min(direct)).alias("apart"))
-    asked = written(asked.join(keyed.dropDuplicates(["key"]), "key"), "remaining")
-    rest = asked.select("key", "root", "apart", "text").mapInArrow(_prefixes(table, order, words, similar), _PREFIX)
-    a, b = rest.where("not asks"), rest.where("asks")
-    b = b.select("token", "class", "side", *(F.col(c).alias(f"{c}_b") for c in ("key", "root", "w", "left")))
-    lighter = (F.col("w") < F.col("w_b")) | ((F.col("w") == F.col("w_b")) & (F.col("key") < F.col("key_b")))
+    asked = written(asked.join(keyed, "key").dropDuplicates(["key"]).withColumn("id", F.xxhash64("key")), "remaining")
+    rare = lambda asks: asked.select("id", F.xxhash64("root").alias("root"), "apart", "text").mapInArrow(_prefixes(table, order, words, similar, asks), _PREFIX)
+    found, asking = rare(False), rare(True).select("token", "class", "side", *(F.col(c).alias(f"{c}_b") for c in ("id", "root", "w", "left")))
+    lighter = (F.col("w") < F.col("w_b")) | ((F.col("w") == F.col("w_b")) & (F.col("id") < F.col("id_b")))
     enough = F.least("left", "left_b") >= similar / (1 + similar) * (F.col("w") + F.col("w_b")) * (1 - 1e-9)
-    pairs = a.join(b, ["token", "class", "side"]).where((F.col("root") != F.col("root_b")) & lighter & enough).select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct()
+    pairs = found.join(asking, ["token", "class", "side"]).where((F.col("root") != F.col("root_b")) & lighter & enough).select("id", "id_b").distinct()
+    pairs = pairs.join(asked.select("id", F.col("key").alias("a")), "id").join(asked.select(F.col("id").alias("id_b"), F.col("key").alias("b")), "id_b").select("a", "b")
     second = judged(pairs, similar)
     for done in (*scratch, told, asked):
         released(spark, done)
