@@ -456,14 +456,18 @@ def links(docs: DataFrame, text_col: str = "text", similar: float = SIMILARITY,
     alike = F.least("weight", "heavy") >= (2 * similar - 1) * F.greatest("weight", "heavy") * (1 - 1e-6)
     star = members.where((F.col("key") != F.col("leader")) & alike).select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
 
+    # only texts that share a bucket are ever read again; what they are joined with is written before, so that its size is known
+    shared = written(members.select("key").distinct(), "shared")
+    known = written(keyed.join(shared, "key", "left_semi").dropDuplicates(["key"]), "texts")
+    scratch.extend((shared, known))
+
     def judged(pairs: DataFrame, least: float) -> DataFrame:
         """The pairs ``a, b`` of at least that similarity; an ``a`` may have many partners."""
         pairs = written(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))), "pairs")
-        asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        needed = written(keyed.join(asked, "key", "left_semi").dropDuplicates(["key"]), "texts")
-        ones = pairs.select("a", "salt").distinct().join(needed.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
-        full = pairs.join(needed.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").join(ones, ["a", "salt"])
-        scratch.extend((pairs, needed))
+        heads = written(pairs.select("a", "salt").distinct(), "heads")
+        scratch.extend((pairs, heads))
+        ones = known.select(F.col("key").alias("a"), F.col("text").alias("x")).join(heads, "a")
+        full = known.select(F.col("key").alias("b"), F.col("text").alias("y")).join(pairs, "b").join(ones, ["a", "salt"])
         return written(full.select("a", "b", "x", "y").mapInArrow(_verified(table, words, least), "a string, b string, similarity double"), "verified")
 
     near = judged(star, 2 * similar - 1)
@@ -481,10 +485,10 @@ def links(docs: DataFrame, text_col: str = "text", similar: float = SIMILARITY,
     drawn = F.pmod(F.xxhash64("bucket", "key"), F.col("n")) < DRAWN
     some = told.join(sizes, "bucket").select("bucket", "key", "root", outside.alias("out"), drawn.alias("drawn")).where("out or drawn")
     some = some.join(signed.select("key", "samples"), "key")
-    known = some.where("drawn").groupBy("bucket").agg(F.collect_list(F.struct("key", "root", "samples")).alias("drawn"))  # about DRAWN
+    shown = some.where("drawn").groupBy("bucket").agg(F.collect_list(F.struct("key", "root", "samples")).alias("drawn"))  # about DRAWN
     alike = lambda d: F.aggregate(F.zip_with("samples", d["samples"], lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
     other = F.filter("drawn", lambda d: d["root"] != F.col("root"))
-    met = some.where("out").drop("drawn").join(known, "bucket").select("key", F.explode(F.slice(F.sort_array(F.transform(other, lambda d: F.struct(alike(d).alias("n"), d["key"].alias("key"))), asc=False), 1, MET)).alias("d"))
+    met = some.where("out").drop("drawn").join(shown, "bucket").select("key", F.explode(F.slice(F.sort_array(F.transform(other, lambda d: F.struct(alike(d).alias("n"), d["key"].alias("key"))), asc=False), 1, MET)).alias("d"))
     met = met.where(F.col("d.n") >= bands * rows * similar * 0.8).select(F.greatest("key", "d.key").alias("a"), F.least("key", "d.key").alias("b")).distinct()
     touching = judged(met, similar)
     where = told.select("key", "root").distinct()
@@ -497,7 +501,8 @@ def links(docs: DataFrame, text_col: str = "text", similar: float = SIMILARITY,
     direct = F.coalesce(F.col("similarity") >= similar, F.lit(False))
     # a member linked to the leader is near another only if that one is at 2 * similar - 1 to the leader
     asked = told.join(torn, "bucket").where(~F.col("leads") & (~direct | F.col("nearest").isNotNull())).groupBy("key", "root").agg((~F.min(direct)).alias("apart"))
-    asked = written(asked.join(keyed, "key").dropDuplicates(["key"]).withColumn("id", F.xxhash64("key")), "remaining")
+    asked = written(asked.withColumn("id", F.xxhash64("key")), "remaining")
+    asked = written(known.join(asked, "key"), "remaining")
     rare = lambda asks: asked.select("id", F.xxhash64("root").alias("root"), "apart", "text").mapInArrow(_prefixes(table, order, words, similar, asks), _PREFIX)
     found, asking = rare(False), rare(True).select("token", "class", "side", *(F.col(c).alias(f"{c}_b") for c in ("id", "root", "w", "left")))
     lighter = (F.col("w") < F.col("w_b")) | ((F.col("w") == F.col("w_b")) & (F.col("id") < F.col("id_b")))
