@@ -329,13 +329,18 @@ def _verified(table, words: int, least: float):
                     recent.popitem(last=False)
             return recent[key]
 
-        for batch in batches:
-            out: list[list] = [[], [], []]
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                if (s := similarity(table.value, of(a, x), of(b, y))) >= least:
-                    for c, v in zip(out, (a, b, s)):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], names=["a", "b", "similarity"])
+        def linked(out: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], names=["a", "b", "similarity"])
+
+        out: list[list] = [[], [], []]
+        for a, b, x, y in _rows(batches):
+            if (s := similarity(table.value, of(a, x), of(b, y))) >= least:
+                for c, v in zip(out, (a, b, s)):
+                    c.append(v)
+            if len(out[0]) == 10_000:
+                yield linked(out)
+                out = [[], [], []]
+        yield linked(out)
 
     return run
 

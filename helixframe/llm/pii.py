@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import fresh, written
+from helixframe.llm.common import fresh, trim, written
 
 #: The session's setting that holds the key, in hexadecimal.
 KEY = "helixframe.pii.key"
@@ -357,6 +357,7 @@ def replaced(docs: DataFrame, text_col: str = "text", key: bytes | None = None)
                 parts += [t[at:a], rendered(t[a:b], kind, known[_group(kind), value])]
                 at, n = b, n + 1
             out.append(("".join([*parts, t[at:]]), n))
+        trim()
         return pd.DataFrame(out, columns=["text", "n"])
 
     both = keyed.join(maps, mark, "left").withColumn(put_to, put(text_col, news))

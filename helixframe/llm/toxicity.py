@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import written
+from helixframe.llm.common import trim, written
 
 #: Labelled rows to learn from, learned entries, and the lengths of word beginnings.
 SAMPLE, ENTRIES, STEMS = 20_000, 5_000, (4, 5, 6, 7)
@@ -264,7 +264,9 @@ def score(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFram
         import pandas as pd
 
         batch = pa.RecordBatch.from_arrays([pa.nulls(len(text)), pa.array(text, pa.string())], names=["row", "text"])
-        return pd.Series(next(inner([batch])).column(1).to_numpy(), index=text.index)
+        out = pd.Series(next(inner([batch])).column(1).to_numpy(), index=text.index)
+        trim()
+        return out
 
     return docs.withColumn("score", of(F.col(text_col)))
 
