@@ -186,7 +186,7 @@ def _next_digit(threshold: int, run_of: int):
             flat = np.repeat(one - (np.cumsum(size) - size), size) + np.arange(size.sum())
             each = hashes.of(flat, flat + threshold).tobytes()
             at = np.concatenate([[0], np.cumsum(size * 8)]).astype(np.int32)
-            out.append(pa.table([pa.array(key[owner]), _signed(hashes.of(end, end - run_of + 1 + threshold)), _signed(hashes.of(one, two + threshold)), pa.array([row["block"]] * len(one)), pa.array(one.astype(np.int32)), pa.array(two.astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(each)]), rows["weight"].take(pa.array(owner))], names=["key", "core", "full", "block", "first", "last", "each", "weight"]))
+            out.append(pa.table([pa.array(key[owner]), _signed(hashes.of(end, end - run_of + 1 + threshold)), _signed(hashes.of(one, two + threshold)), pa.array([row["block"]] * len(one), pa.string()), pa.array(one.astype(np.int32)), pa.array(two.astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(each)]), rows["weight"].take(pa.array(owner))], names=["key", "core", "full", "block", "first", "last", "each", "weight"]))
         return pa.concat_tables(out)
 
     return run

@@ -81,6 +81,13 @@ def test_repeats_equal_brute_force(spark, size, block):
     assert all(digest[i] == hashlib.sha256(got[i][3]).hexdigest() for i in got)
 
 
+def test_blocks_without_repeats_stay(spark):
+    texts = ["".join(random.Random(i).choices("abcdefgh", k=300)) for i in range(12)]
+    texts[7] = texts[3]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(frame(spark, texts), 40, block_bytes=300).collect()}
+    assert got == {i: (300, 300, 1) if i in (3, 7) else (300, 0, 0) for i in range(12)}
+
+
 # 3: nearest neighbours
 def test_search_finds_all_when_all_is_read_and_most_otherwise(spark):
     rng = np.random.default_rng(5)
