@@ -28,11 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import lean, written
+from helixframe.llm.common import lean, partitions, written
 
 THRESHOLD = 400
 #: Bytes of the first digit, windows of a run, bytes of a block.
 DIGIT, RUN, BLOCK_BYTES = 192, 16, 4_000_000
+#: Largest groups whose rows are dealt over all partitions when they are joined.
+HOT = 1_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _U = np.uint64
@@ -228,13 +230,28 @@ def _kept(threshold: int, texts: bool):
     return run
 
 
+def _met(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str) -> DataFrame:
+    """``rows`` joined with ``groups``, which has one row for each ``keys`` and its number of rows in ``size``.
+
+    The rows of the ``HOT`` largest groups are dealt over all partitions by a salt, and these groups
+    repeated for each salt; any other group holds at most one row in ``HOT``. No more than ``HOT``
+    keys are broadcast, whatever the input.
+    """
+    deal = partitions(rows.sparkSession)
+    hot = F.broadcast(groups.where(F.col(size) >= deal).orderBy(F.desc(size), *keys).limit(HOT).select(*keys, F.lit(deal).alias("deal")))
+    salted = rows.join(hot, keys, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("block", "first"), "deal"), F.lit(0))).drop("deal")
+    repeated = groups.drop(size).join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("deal") - 1, F.lit(0)).cast("bigint")))).drop("deal")
+    return salted.join(repeated, [*keys, "salt"], how).drop("salt")
+
+
 def _counted(rows: DataFrame, digit: str) -> DataFrame:
     """``rows`` whose (key, digit) occurs more than once; ``whole``: so does all that the row covers; ``mixed``: not so for each row of that digit."""
     keys = list(dict.fromkeys(["key", digit]))
     groups = rows.groupBy(*keys, "full").agg(F.sum("weight").alias("n"))
-    more = groups.groupBy(*keys).agg(F.sum("n").alias("all"), F.min("n").alias("least")).where("all > 1").select(*keys, (F.col("least") == 1).alias("mixed"))
-    again = groups.where("n > 1").select(*keys, "full", F.lit(True).alias("again"))
-    return rows.join(more, keys).join(again, [*keys, "full"], "left").withColumn("whole", F.coalesce("again", F.lit(False))).drop("again", "weight")
+    more = groups.groupBy(*keys).agg(F.sum("n").alias("all"), F.min("n").alias("least")).where("all > 1").select(*keys, "all", (F.col("least") == 1).alias("mixed"))
+    again = groups.where("n > 1").select(*keys, "full", "n", F.lit(True).alias("again"))
+    known = _met(rows, more, keys, "all", "inner")
+    return _met(known, again, [*keys, "full"], "n", "left").withColumn("whole", F.coalesce("again", F.lit(False))).drop("again", "weight")
 
 
 def _rest(counted: DataFrame, digit: str) -> DataFrame:
@@ -258,7 +275,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "d
     runs = blocks.groupBy("block").cogroup(rest.groupBy("block")).applyInArrow(_next_digit(threshold, run_of), RUNS)
     second = written(_counted(runs, "core"), "next-digit")
     windows = _rest(second, "core").mapInArrow(_windows, "key bigint, full bigint, block string, first int, weight int")
-    repeated = windows.join(windows.groupBy("key", "full").agg(F.sum("weight").alias("n")).where("n > 1").drop("n"), ["key", "full"])
+    repeated = _met(windows, windows.groupBy("key", "full").agg(F.sum("weight").alias("n")).where("n > 1"), ["key", "full"], "n", "inner")
     spans = (
         first.where("whole").select("block", "first", "last")
         .unionByName(second.where("whole").select("block", "first", "last"))
