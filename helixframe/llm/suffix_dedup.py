@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import lean, partitions, written
+from helixframe.llm.common import lean, partitions, released, written
 
 THRESHOLD = 400
 #: Bytes of the first digit, windows of a run, bytes of a block.
@@ -239,19 +239,26 @@ def _met(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: st
     """
     deal = partitions(rows.sparkSession)
     hot = F.broadcast(groups.where(F.col(size) >= deal).orderBy(F.desc(size), *keys).limit(HOT).select(*keys, F.lit(deal).alias("deal")))
-    salted = rows.join(hot, keys, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("block", "first"), "deal"), F.lit(0))).drop("deal")
-    repeated = groups.drop(size).join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("deal") - 1, F.lit(0)).cast("bigint")))).drop("deal")
+    dealt = F.col("deal").isNotNull()
+    salted = rows.join(hot, keys, "left").withColumn("salt", F.when(dealt, F.pmod(F.xxhash64("block", "first"), "deal")).otherwise(F.lit(0))).drop("deal")
+    repeated = groups.drop(size).join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(dealt, F.col("deal") - 1).otherwise(F.lit(0)).cast("bigint")))).drop("deal")
     return salted.join(repeated, [*keys, "salt"], how).drop("salt")
 
 
-def _counted(rows: DataFrame, digit: str) -> DataFrame:
-    """``rows`` whose (key, digit) occurs more than once; ``whole``: so does all that the row covers; ``mixed``: not so for each row of that digit."""
+def _counted(rows: DataFrame, digit: str, tag: str) -> DataFrame:
+    """``rows`` whose (key, digit) occurs more than once; ``whole``: so does all that the row covers; ``mixed``: not so for each row of that digit.
+
+    The counts are written before rows meet them: they are read several times.
+    """
     keys = list(dict.fromkeys(["key", digit]))
-    groups = rows.groupBy(*keys, "full").agg(F.sum("weight").alias("n"))
-    more = groups.groupBy(*keys).agg(F.sum("n").alias("all"), F.min("n").alias("least")).where("all > 1").select(*keys, "all", (F.col("least") == 1).alias("mixed"))
-    again = groups.where("n > 1").select(*keys, "full", "n", F.lit(True).alias("again"))
-    known = _met(rows, more, keys, "all", "inner")
-    return _met(known, again, [*keys, "full"], "n", "left").withColumn("whole", F.coalesce("again", F.lit(False))).drop("again", "weight")
+    groups = written(rows.groupBy(*keys, "full").agg(F.sum("weight").alias("n")), "groups")
+    more = written(groups.groupBy(*keys).agg(F.sum("n").alias("all"), F.min("n").alias("least")).where("all > 1").select(*keys, "all", (F.col("least") == 1).alias("mixed")), "more")
+    again = groups.where("n > 1").withColumn("again", F.lit(True))
+    known = _met(_met(rows, more, keys, "all", "inner"), again, [*keys, "full"], "n", "left")
+    out = written(known.withColumn("whole", F.coalesce("again", F.lit(False))).drop("again", "weight"), tag)
+    for df in (groups, more):
+        released(rows.sparkSession, df)
+    return out
 
 
 def _rest(counted: DataFrame, digit: str) -> DataFrame:
@@ -270,12 +277,13 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "d
     digit, run_of = digit or min(DIGIT, max(1, threshold // 2)), min(run_of, threshold)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blocks = written(rows.mapInArrow(_blocks(block_bytes), BLOCKS), "repeats")
-    first = written(_counted(blocks.mapInArrow(_first_digit(threshold, digit), ROWS).withColumn("weight", F.lit(1)), "key"), "first-digit")
+    first = _counted(blocks.mapInArrow(_first_digit(threshold, digit), ROWS).withColumn("weight", F.lit(1)), "key", "first-digit")
     rest = _rest(first, "key").select("key", "block", "place", "first", "last", "weight")
     runs = blocks.groupBy("block").cogroup(rest.groupBy("block")).applyInArrow(_next_digit(threshold, run_of), RUNS)
-    second = written(_counted(runs, "core"), "next-digit")
+    second = _counted(runs, "core", "next-digit")
     windows = _rest(second, "core").mapInArrow(_windows, "key bigint, full bigint, block string, first int, weight int")
-    repeated = _met(windows, windows.groupBy("key", "full").agg(F.sum("weight").alias("n")).where("n > 1"), ["key", "full"], "n", "inner")
+    several = written(windows.groupBy("key", "full").agg(F.sum("weight").alias("n")).where("n > 1"), "windows")
+    repeated = _met(windows, several, ["key", "full"], "n", "inner")
     spans = (
         first.where("whole").select("block", "first", "last")
         .unionByName(second.where("whole").select("block", "first", "last"))
