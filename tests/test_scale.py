@@ -22,7 +22,7 @@ def sequences(seed, sizes=(3000, 1, 2, 3, 0, 1025), letters="ACGTN"):
 
 
 # Contigs were made, and all that followed from them, in the one task that reads a small file of keys.
-SPREAD = ["context_counts"]
+SPREAD = ["context_counts", "kmer_count"]
 
 
 @pytest.mark.parametrize("name", SPREAD)
@@ -43,3 +43,15 @@ def test_contexts_are_counted_before_they_are_rows(spark):
         got = context.tallies(contigs, size).groupBy("chrom_id", "context", "base").agg(F.sum("n").alias("n"), F.sum("places").alias("places")).collect()
         assert {(r.chrom_id, r.context, r.base): r.n * 10**6 + r.places for r in got} == want
     assert context.tallies(contigs).count() <= 9 * len(seqs)
+
+
+@pytest.mark.parametrize("k", [1, 6, 8, 12, 31, 33])
+def test_kmers_are_counted_within_tasks(spark, k):
+    from helixframe.operators import seed
+
+    seqs = sequences(k, letters="ACGTACGTACGTACGTACGTACGTN") + ["ACGT" * 50] * 3
+    contigs = spark.createDataFrame(list(enumerate(seqs)), "chrom_id int, seq string").repartition(3)
+    want = Counter(s[i : i + k] for s in seqs for i in range(len(s) - k + 1) if "N" not in s[i : i + k])
+    assert {r.kmer: r.n for r in seed.counts(contigs, k, 64).collect()} == want
+    if k <= 10:
+        assert "Generate explode(filter" not in plan(seed.counts(contigs, k, 64))
