@@ -22,7 +22,7 @@ def sequences(seed, sizes=(3000, 1, 2, 3, 0, 1025), letters="ACGTN"):
 
 
 # Contigs were made, and all that followed from them, in the one task that reads a small file of keys.
-SPREAD = ["context_counts", "kmer_count", "kmer_spectrum_topk"]
+SPREAD = ["context_counts", "kmer_count", "kmer_spectrum_topk", "context_by_window"]
 
 
 @pytest.mark.parametrize("name", SPREAD)
@@ -55,3 +55,18 @@ def test_kmers_are_counted_within_tasks(spark, k):
     assert {r.kmer: r.n for r in seed.counts(contigs, k, 64).collect()} == want
     if k <= 10:
         assert "Generate explode(filter" not in plan(seed.counts(contigs, k, 64))
+
+
+def test_contexts_by_window_over_runs_of_any_length(spark):
+    rnd = random.Random(43)
+    seqs = sequences(43)
+    runs = []
+    for c, s in enumerate(seqs):
+        i = 0
+        while i < len(s):
+            n = rnd.choice((1, 1, 2, 3, 50))
+            runs.append((c, i, s[i : i + n]))
+            i += n
+    contigs = spark.createDataFrame(list(enumerate(seqs)), "chrom_id int, seq string")
+    want = Counter(tuple(r) for r in context.positions(contigs).collect())
+    assert Counter(tuple(r) for r in context.positions_by_window(spark.createDataFrame(runs, "chrom_id int, pos int, base string")).collect()) == want
