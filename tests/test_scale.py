@@ -70,3 +70,64 @@ def test_contexts_by_window_over_runs_of_any_length(spark):
     contigs = spark.createDataFrame(list(enumerate(seqs)), "chrom_id int, seq string")
     want = Counter(tuple(r) for r in context.positions(contigs).collect())
     assert Counter(tuple(r) for r in context.positions_by_window(spark.createDataFrame(runs, "chrom_id int, pos int, base string")).collect()) == want
+
+
+def test_cigars_of_a_batch_equal_those_of_single_rows():
+    from helixframe.operators import verify
+
+    rnd = random.Random(44)
+    e, reads, windows = 4, [], []
+    for _ in range(300):
+        w = "".join(rnd.choice("ACGT") for _ in range(38))
+        r = list(w[4:34])
+        for _ in range(rnd.randrange(0, 4)):
+            i = rnd.randrange(len(r))
+            r[i : i + 1] = rnd.choice([["A"], [], ["C", "G"]])
+        reads.append(("".join(r) + w[34:])[:30].ljust(30, "A"))
+        windows.append(w)
+    _, ends, table = verify.distances(reads, windows, e)
+    want = []
+    for k, (r, w) in enumerate(zip(reads, windows)):
+        i, d, ops, m = 30, int(ends[k]) - 30, "", table[:, k]
+        while i:
+            cost = not (r[i - 1] == w[i + d - 1] or (r[i - 1] == "T" and w[i + d - 1] == "C"))
+            if m[i, d] == m[i - 1, d] + cost:
+                i, ops = i - 1, "M" + ops
+            elif d and m[i, d] == m[i, d - 1] + 1:
+                d, ops = d - 1, "D" + ops
+            else:
+                i, d, ops = i - 1, d + 1, "I" + ops
+        want.append((d, verify.run_lengths(list(ops))))
+    assert verify.cigars(reads, windows, ends, table) == want and any("D" in c and "I" in c for _, c in want)
+
+
+def test_distances_of_batches_equal_those_of_single_rows(spark):
+    from helixframe.functions import dna
+
+    rnd = random.Random(45)
+    rows = [("", ""), ("", "A"), ("A", None), (None, "A"), ("ACGT", "ACGT")]
+    for _ in range(300):
+        a = [rnd.choice("ACGT") for _ in range(rnd.randrange(0, 12))]
+        b = list(a)
+        for _ in range(rnd.randrange(0, 4)):
+            i = rnd.randrange(len(b) + 1)
+            b[i : i + rnd.randrange(2)] = rnd.choice([[], ["A"], ["C"]])
+        rows.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(rows, "a string, b string")
+    for most in (0, 1, 3):
+        assert df.where(~F.levenshtein("a", "b", most).eqNullSafe(dna.edit_distance(F.col("a"), F.col("b"), most))).count() == 0
+    got = df.select("a", "b", dna.mismatches(F.col("a"), F.col("b")).alias("n"), dna.bisulfite_mismatches(F.col("a"), F.col("b")).alias("m")).collect()
+    for r in got:
+        if r.a is None or r.b is None:
+            assert r.n is None and r.m is None
+        elif len(r.a) == len(r.b):
+            assert (r.n, r.m) == (sum(x != y for x, y in zip(r.a, r.b)), sum(x != y and (x, y) != ("T", "C") for x, y in zip(r.a, r.b)))
+
+
+def test_hits_are_shuffled_once(spark):
+    from helixframe.operators import rank
+
+    hits = spark.createDataFrame([("a", 5, 1), ("a", 5, 0), ("a", 7, 0), ("b", 1, 2), ("b", 1, 2)], "name string, pos int, err int").repartition(3)
+    best = rank.best_hits(hits, ["name"], [F.asc("err")], ["pos"])
+    assert plan(best).count("Exchange hashpartitioning(") == 1
+    assert sorted((r.name, r.pos, r.err, r.n_best) for r in best.collect()) == [("a", 5, 0, 2), ("a", 7, 0, 2), ("b", 1, 2, 1)]
