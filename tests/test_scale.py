@@ -131,3 +131,25 @@ def test_hits_are_shuffled_once(spark):
     best = rank.best_hits(hits, ["name"], [F.asc("err")], ["pos"])
     assert plan(best).count("Exchange hashpartitioning(") == 1
     assert sorted((r.name, r.pos, r.err, r.n_best) for r in best.collect()) == [("a", 5, 0, 2), ("a", 7, 0, 2), ("b", 1, 2, 1)]
+
+
+@pytest.mark.parametrize("k,step", [(8, 1), (20, 20), (20, 7), (21, 5)])
+def test_seeds_meet_by_bucket_as_by_equality(spark, k, step):
+    from helixframe.functions import dna
+    from helixframe.operators import seed
+
+    rnd = random.Random(k)
+    seqs = sequences(k, letters="ACGT" * 30 + "N") + ["ACGT" * 60]
+    contigs = spark.createDataFrame([(c, dna_) for c, dna_ in enumerate(seqs)], "chrom_id bigint, seq string").repartition(3)
+    reads = [(f"r{i}", s[a : a + rnd.randrange(10, 80)]) for i in range(80) for s in [rnd.choice(seqs)] for a in [rnd.randrange(max(len(s), 1))]] + [("n", None), ("e", "")]
+    reads = spark.createDataFrame(reads, "name string, seq string")
+    plain = seed.join(seed.seeds(reads, ["name"], "seq", k, step), seed.index(contigs, k, 500)).select("name", "offset", "chrom_id", "site", "kmer")
+    for size in (500, 4096):
+        made = seed.joined(reads, ["name"], contigs, k, step, size, spell=True)
+        assert "Broadcast" not in plan(made)
+        assert Counter(map(tuple, made.collect())) == Counter(map(tuple, plain.collect()))
+    converted = reads.withColumn("seq", dna.convert(F.col("seq")))
+    want = seed.join(seed.seeds(converted, ["name"], "seq", k, step), seed.strand_index(contigs, k))
+    got = seed.strand_joined(converted, ["name"], contigs, k, step)
+    names = ["name", "offset", "chrom_id", "strand", "length", "site"]
+    assert Counter(map(tuple, got.select(names).collect())) == Counter(map(tuple, want.select(names).collect()))
