@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions import dna
+from helixframe.functions import blocks, dna
+from helixframe.operators import context
 
 
 def first_of(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -20,26 +26,74 @@ def without_duplicates(alignments: DataFrame) -> DataFrame:
     return first_of(alignments, ["chrom_id", "strand", "site", "tlen"], ["name"])
 
 
-def calls(alignments: DataFrame) -> DataFrame:
-    """``chrom_id, pos, strand, base``: the bases of ungapped reads by place (sequences as the forward strand shows them)."""
-    return alignments.select("chrom_id", "strand", "site", F.posexplode(F.filter(F.split("seq", ""), lambda c: c != "")).alias("i", "base")).select("chrom_id", (F.col("site") + F.col("i")).alias("pos"), "strand", "base")
-
-
-def counts(called: DataFrame, positions: DataFrame) -> DataFrame:
-    """``chrom_id, pos, context, methylated, total, variant, opposite``.
+def counts(alignments: DataFrame, contigs: DataFrame, size: int = context.CHUNK) -> DataFrame:
+    """``chrom_id, name, pos, context, methylated, total, variant, opposite, depth`` of the cytosines that ungapped reads cover.
 
-    A C of the reference is read on strand 0 (C methylated, T not), a G on strand 1 (G methylated, A
-    not). Other bases of that strand are variant evidence, and ``opposite`` counts the other strand's
-    bases that differ from the reference.
+    Sequences are as the forward strand shows them. A C of the reference is read on strand 0 (C
+    methylated, T not), a G on strand 1 (G methylated, A not). Other bases of that strand are variant
+    evidence, and ``opposite`` counts the other strand's bases that differ from the reference. Reads go
+    to the pieces they lie on, sorted behind them, and are counted as they stream by: a base never becomes a row.
     """
-    sites = positions.where("context < 3").select("chrom_id", "pos", "context", F.col("base").alias("ref"))
-    few = called.groupBy("chrom_id", "pos", "strand", F.col("base")).agg(F.count("*").alias("n"))  # at most ten rows a place meet the sites
-    both = few.join(sites, ["chrom_id", "pos"])
-    own = ((F.col("ref") == "C") & (F.col("strand") == 0)) | ((F.col("ref") == "G") & (F.col("strand") == 1))
-    same = F.col("base") == F.col("ref")
-    turned = F.col("base") == F.when(F.col("ref") == "C", "T").otherwise("A")
-    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
-    return both.groupBy("chrom_id", "pos", "context").agg(count(own & same).alias("methylated"), count(own & (same | turned)).alias("total"), count(own & ~same & ~turned).alias("variant"), count(~own & ~same).alias("opposite"), F.sum("n").alias("depth"))
+    names = contigs.select("chrom_id", "name")
+    pieces = context.around(contigs, size, ["name"]).select("chrom_id", F.floor(F.col("pos") / size).cast("bigint").alias("piece"), F.lit(-1).alias("strand"), F.col("pos").cast("bigint").alias("pos"), "ahead", "n", "text", "name")
+    last = F.floor((F.col("site") + F.length("seq") - 1) / size)
+    reads = alignments.where("seq <> ''").select("chrom_id", F.explode(F.sequence(F.floor(F.col("site") / size).cast("bigint"), last.cast("bigint"))).alias("piece"), F.col("strand").cast("int").alias("strand"), F.col("site").cast("bigint").alias("pos"), F.lit(0).alias("ahead"), F.lit(0).alias("n"), F.col("seq").alias("text"), F.lit(None).cast("string").alias("name"))
+    both = pieces.unionByName(reads).repartition("chrom_id", "piece").sortWithinPartitions("chrom_id", "piece", "strand")
+    columns = ["chrom_id", "name", "pos", "context", "methylated", "total", "variant", "opposite", "depth"]
+    schema = f"chrom_id {names.schema['chrom_id'].dataType.simpleString()}, name string, pos int, context int, " + ", ".join(f"{c} bigint" for c in columns[4:])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, before = None, None  # the last piece, whose reads may go on, and its counts
+        for part in (p for b in batches for p in blocks.parts(b, "text", 4 * blocks.PART)):
+            rows = part if kept is None else pa.concat_batches([kept, part])
+            strand = rows.column("strand").to_numpy()
+            of = np.cumsum(strand < 0) - 1
+            at = np.flatnonzero(strand < 0)
+            if not len(at):
+                continue
+            ours = (strand >= 0) & (of >= 0)
+            for c in ("chrom_id", "piece"):  # reads of no contig lie behind another one's piece
+                ids = rows.column(c)
+                ours &= pc.fill_null(pc.equal(ids, ids.take(pa.array(at[np.maximum(of, 0)]))), False).to_numpy(zero_copy_only=False)
+            pieces = rows.take(pa.array(at))
+            first, ahead, n = (pieces.column(c).to_numpy().astype(np.int64) for c in ("pos", "ahead", "n"))
+            start = np.cumsum(n) - n
+            data, begin = blocks.flat(pieces.column("text"), "\n\n")
+            inner = np.arange(n.sum()) - np.repeat(start, n)
+            place = np.repeat(begin[:-1] + ahead, n) + inner
+            ref, kind = data[place], blocks.contexts(data)[place]
+            some = np.flatnonzero(ours)
+            bases, where = blocks.flat(rows.column("text").take(pa.array(some)))
+            length = np.diff(where)
+            to = np.repeat(rows.column("pos").to_numpy()[some] - first[of[some]], length) + np.arange(len(bases)) - np.repeat(where[:-1], length)
+            inside = (to >= 0) & (to < np.repeat(n[of[some]], length))
+            to = (to + np.repeat(start[of[some]], length))[inside]
+            seen = np.bincount((to * 2 + np.repeat(strand[some], length)[inside]) * 5 + blocks.codes(bases[inside]), minlength=10 * len(ref)).reshape(-1, 2, 5)
+            if before is not None:
+                seen[: len(before)] += before
+            done = len(ref) - int(n[-1])
+            kept, before = pieces.slice(len(at) - 1), seen[done:]
+            yield from told(pieces, np.repeat(np.arange(len(at)), n)[:done], (np.repeat(first, n) + inner)[:done], ref[:done], kind[:done], seen[:done])
+        if kept is not None:
+            n = kept.column("n").to_numpy().astype(np.int64)
+            data, ahead = blocks.flat(kept.column("text"), "\n\n")[0], int(kept.column("ahead")[0].as_py())
+            inner = np.arange(n[0])
+            yield from told(kept, inner * 0, int(kept.column("pos")[0].as_py()) + inner, data[ahead + inner], blocks.contexts(data)[ahead + inner], before)
+
+    def told(pieces: pa.RecordBatch, row: np.ndarray, pos: np.ndarray, ref: np.ndarray, kind: np.ndarray, seen: np.ndarray) -> Iterator[pa.RecordBatch]:
+        depth = seen.sum(axis=(1, 2))
+        at = np.flatnonzero((kind < 3) & (depth > 0))
+        for some in np.split(at, range(1 << 17, len(at), 1 << 17)):
+            reverse = (ref[some] == ord("G")).astype(np.int64)
+            i = np.arange(len(some))
+            own, other = seen[some, reverse], seen[some, 1 - reverse]
+            base, turned = np.where(reverse, 2, 1), np.where(reverse, 0, 3)
+            methylated, total = own[i, base], own[i, base] + own[i, turned]
+            numbers = [methylated, total, own.sum(axis=1) - total, other.sum(axis=1) - other[i, base], depth[some]]
+            of = pa.array(row[some])
+            yield pa.RecordBatch.from_arrays([pieces.column("chrom_id").take(of), pieces.column("name").take(of), pa.array(pos[some].astype(np.int32)), pa.array(kind[some].astype(np.int32)), *(pa.array(x.astype(np.int64)) for x in numbers)], names=columns)
+
+    return both.mapInArrow(run, schema)
 
 
 def without_variants(counted: DataFrame, max_fraction: float = 0.0, min_depth: int = 65536) -> DataFrame:
@@ -48,12 +102,12 @@ def without_variants(counted: DataFrame, max_fraction: float = 0.0, min_depth: i
     return counted.where(~((F.col("depth") >= min_depth) & (evidence / F.col("depth") > max_fraction)))
 
 
-def bedgraph(counted: DataFrame, contigs: DataFrame, contexts: tuple[str, ...] = ("CpG",)) -> DataFrame:
+def bedgraph(counted: DataFrame, contexts: tuple[str, ...] = ("CpG",)) -> DataFrame:
     """``context, chrom, beg, end, pct, n_meth, n_unmeth`` of the contexts asked for."""
     wanted = [dna.CONTEXTS.index(c) for c in contexts]
     names = F.element_at(F.array(*map(F.lit, dna.CONTEXTS)), F.col("context") + 1)
-    rows = counted.where(F.col("context").isin(wanted) & (F.col("total") > 0)).join(contigs.select("chrom_id", F.col("name").alias("chrom")), "chrom_id")
-    return rows.select(names.alias("context"), "chrom", F.col("pos").alias("beg"), (F.col("pos") + 1).alias("end"), dna.percent(F.col("methylated"), F.col("total")).alias("pct"), F.col("methylated").alias("n_meth"), (F.col("total") - F.col("methylated")).alias("n_unmeth"))
+    rows = counted.where(F.col("context").isin(wanted) & (F.col("total") > 0))
+    return rows.select(names.alias("context"), F.col("name").alias("chrom"), F.col("pos").alias("beg"), (F.col("pos") + 1).alias("end"), dna.percent(F.col("methylated"), F.col("total")).alias("pct"), F.col("methylated").alias("n_meth"), (F.col("total") - F.col("methylated")).alias("n_unmeth"))
 
 
 def cut_counts(alignments: DataFrame, length: int, site: Column | None = None) -> DataFrame:

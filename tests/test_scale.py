@@ -153,3 +153,30 @@ def test_seeds_meet_by_bucket_as_by_equality(spark, k, step):
     got = seed.strand_joined(converted, ["name"], contigs, k, step)
     names = ["name", "offset", "chrom_id", "strand", "length", "site"]
     assert Counter(map(tuple, got.select(names).collect())) == Counter(map(tuple, want.select(names).collect()))
+
+
+def test_methylation_is_counted_as_reads_stream_by(spark):
+    from helixframe.operators import methyl
+
+    rnd = random.Random(46)
+    seqs = {c: s for c, s in enumerate(sequences(46)) if s}
+    contigs = spark.createDataFrame([(c, f"c{c}", s) for c, s in seqs.items()], "chrom_id int, name string, seq string")
+    reads = [(rnd.choice((0, 0, 0, 5, 9)), rnd.randrange(2), rnd.randrange(-20, 2990), "".join(rnd.choice("ACGTN") for _ in range(rnd.randrange(0, 60)))) for _ in range(400)]
+    where = {(r.chrom_id, r.pos): (r.base, r.context) for r in context.positions(contigs).collect()}
+    want = {}
+    for c, strand, site, seq in reads:
+        for i, b in enumerate(seq):
+            ref, kind = where.get((c, site + i), ("", 3))
+            if kind < 3:
+                x = want.setdefault((c, f"c{c}", site + i, kind), [0] * 5)
+                own, turned = strand == (ref == "G"), {"C": "T", "G": "A"}[ref]
+                x[0] += own and b == ref
+                x[1] += own and b in (ref, turned)
+                x[2] += own and b not in (ref, turned)
+                x[3] += not own and b != ref
+                x[4] += 1
+    rows = spark.createDataFrame(reads, "chrom_id int, strand int, site int, seq string")
+    for size in (64, 4096):
+        counted = methyl.counts(rows, contigs, size)
+        assert {tuple(r)[:4]: list(r)[4:] for r in counted.collect()} == want
+        assert "posexplode" not in plan(counted)
