@@ -180,3 +180,8 @@ def test_methylation_is_counted_as_reads_stream_by(spark):
         counted = methyl.counts(rows, contigs, size)
         assert {tuple(r)[:4]: list(r)[4:] for r in counted.collect()} == want
         assert "posexplode" not in plan(counted)
+
+
+def test_reads_are_cut_by_all_cores(spark):
+    keys = synth.reads(spark, SF).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(keys) > 1
