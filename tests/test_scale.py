@@ -22,7 +22,7 @@ def sequences(seed, sizes=(3000, 1, 2, 3, 0, 1025), letters="ACGTN"):
 
 
 # Contigs were made, and all that followed from them, in the one task that reads a small file of keys.
-SPREAD = ["context_counts", "kmer_count", "kmer_spectrum_topk", "context_by_window", "edit_distance_filter", "bs_convert_forward", "extraction_counters", "methyl_dedup", "region_bases", "revcomp"]
+SPREAD = ["context_counts", "kmer_count", "kmer_spectrum_topk", "context_by_window", "edit_distance_filter", "bs_convert_forward", "extraction_counters", "methyl_dedup", "region_bases", "revcomp", "context_classify"]
 
 
 @pytest.mark.parametrize("name", SPREAD)
